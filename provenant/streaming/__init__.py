@@ -1,0 +1 @@
+"""No streaming operators: the engine works on finite tables of documents, queries and evaluations."""
