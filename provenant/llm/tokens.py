@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import fresh_path, single, stage, steps, utf8
 
 SHARD_BYTES = 32 << 20
-#: Words whose ids a worker keeps; when there are more, it starts anew.
-CACHE_WORDS = 400_000
+#: Pieces whose ids a worker keeps from task to task (some 250 bytes each; when there are more, it starts anew), and pieces encoded at once.
+CACHE_PIECES, NEW_PIECES = 1_000_000, 2_000
 HEAD, INDEX = struct.Struct("<QI"), struct.Struct("<qqq")
 MANIFEST = "shard string, records long, n_tokens long"
 
@@ -83,13 +83,6 @@ def unpacked(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if null else key, np.frombuffer(payload, f"<u{width}", offset=10)
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 class Encoder:
     """Ids of whole texts by a tokenizer that never merges across white space.
 
@@ -98,7 +91,9 @@ class Encoder:
     """
 
     def __init__(self, path: str, by_piece: bool):
-        self.tokenizer, self.by_piece, self.kept = _tokenizer(path), by_piece, {}
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.by_piece, self.kept = Tokenizer.from_file(path), by_piece, {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -106,14 +101,29 @@ class Encoder:
         if not self.by_piece:
             return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.kept) > CACHE_WORDS:
+        if len(self.kept) > CACHE_PIECES:
             self.kept.clear()
         new = list(set().union(*pieces).difference(self.kept))
-        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.kept[word] = np.array(e.ids, self.dtype).tobytes()
+        for i in range(0, len(new), NEW_PIECES):
+            self.learn(new[i : i + NEW_PIECES])
         get = self.kept.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 
+    def learn(self, pieces: list[str]) -> None:
+        """Encode pieces joined by blanks, and keep the ids of each: those of the tokens that start in it."""
+        found = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+        data = np.array(found.ids, self.dtype).tobytes()
+        starts = np.cumsum([0, *(len(p) + 1 for p in pieces)])
+        cut = (np.searchsorted(np.array([a for a, _ in found.offsets], np.int64), starts) * self.dtype.itemsize).tolist()
+        for piece, a, b in zip(pieces, cut[:-1], cut[1:], strict=True):
+            self.kept[piece] = data[a:b]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, by_piece: bool) -> Encoder:
+    """A worker's encoder, kept from task to task."""
+    return Encoder(path, by_piece)
+
 
 class ShardWriter:
     """Writes records to shards of about ``most`` bytes, each with its index."""
@@ -159,14 +169,14 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, *, end_id: int | Non
     ordered = slim.repartitionByRange(F.asc_nulls_first("k")).sortWithinPartitions(F.asc_nulls_first("k"), "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, by_piece)
+        coder = encoder(tokenizer, by_piece)
         writer = ShardWriter(uri, TaskContext.get().partitionId(), shard_bytes)
-        tail = np.array([] if end_id is None else [end_id], encoder.dtype).tobytes()
-        width = encoder.dtype.itemsize
+        tail = np.array([] if end_id is None else [end_id], coder.dtype).tobytes()
+        width = coder.dtype.itemsize
         for batch in batches:
             keys, texts = single(batch, "k").to_pylist(), single(batch, "t")
             for i, j in steps(utf8(texts)[1]):
-                for k, ids in zip(keys[i:j], encoder.encode(texts[i:j].to_pylist()), strict=True):
+                for k, ids in zip(keys[i:j], coder.encode(texts[i:j].to_pylist()), strict=True):
                     writer.add(struct.pack("<BBq", width, k is None, k or 0) + ids + tail, (len(ids) + len(tail)) // width)
         writer.roll()
         names, counts, tokens = zip(*writer.done, strict=True) if writer.done else ((), (), ())
