@@ -31,6 +31,8 @@ from .ngrams import grouped
 from .words import BYTE_INV, BYTE_P, mix, rolled, window
 
 SIZE, GRAM, SPREAD = 400, 16, 256
+#: Bytes of text whose triggers are looked for at once; some 150 bytes of temporaries for each.
+PARSE_BYTES = 1 << 19
 #: Bits of a position within a step.
 PLACE = 28
 #: Classes of a group whose contexts a task compares by itself.
@@ -72,7 +74,7 @@ def _parse(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(single(batch, "_t"))
-            for i, j in steps(offsets):
+            for i, j in steps(offsets, PARSE_BYTES):
                 doc, *rest = triggers(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
                 keys = [single(batch, k).slice(i, j - i).take(pa.array(doc)) for k in KEY]
                 yield pa.RecordBatch.from_arrays([*keys, *(pa.array(x) for x in rest)], names=[*KEY, "q", "low", "high", "f", "f2"])
