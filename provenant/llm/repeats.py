@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, single, stage, steps, utf8
+from .common import single, stage, steps, utf8
 from .ngrams import grouped
 from .words import BYTE_INV, BYTE_P, mix, rolled, window
 
@@ -101,7 +101,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 keys = [single(batch, k).take(pa.array(doc)) for k in KEY]
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(f, pa.int64()), pa.array(low, pa.int64()), pa.array(context, pa.binary())], names=[*KEY, "f", "low", "ctx"])
 
-    found = docs.join(broadcast_if_small(lists, 50_000), [docs[k].eqNullSafe(lists[k]) for k in KEY]).select(docs["_id"], docs["_th"], "_t", "w")
+    found = docs.join(lists, [docs[k].eqNullSafe(lists[k]) for k in KEY]).select(docs["_id"], docs["_th"], "_t", "w")
     return stage(found.mapInArrow(run, "_id string, _th long, f long, low long, ctx binary").dropDuplicates([*KEY, "low"]), "contexts")
 
 
@@ -182,16 +182,16 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     parsed = _parse(rows, size)
     groups = parsed.groupBy("f").agg(F.count("*").alias("n"), F.min("f2").alias("x"), F.max("f2").alias("y")).where("n > 1")
     groups = stage(groups.select("f", (F.col("x") != F.col("y")).alias("mixed")), "groups")
-    again = stage(parsed.join(broadcast_if_small(groups), "f"), "again")
+    again = stage(parsed.join(groups, "f"), "again")
     classes = again.groupBy("f", "f2").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct("_id", "_th", "q", "low", "high")).alias("one"))
     classes = stage(classes, "classes")
-    inside = again.join(broadcast_if_small(classes.where("n > 1").select("f", "f2")), ["f", "f2"]).select(*KEY, F.col("low").alias("a"), F.col("high").alias("b"))
+    inside = again.join(classes.where("n > 1").select("f", "f2"), ["f", "f2"]).select(*KEY, F.col("low").alias("a"), F.col("high").alias("b"))
     edge = classes.where("mixed").select("one.*", "f")
     contexts = _contexts(rows, edge, size)
     many = stage(edge.groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("f"), "large-groups")
     if many.limit(1).count():
-        few = _edges(contexts.join(F.broadcast(many) if many.count() < 10_000 else many, "f", "left_anti"), size)
-        edges = few.union(_edges_of_large_groups(contexts.join(F.broadcast(many) if many.count() < 10_000 else many, "f", "left_semi"), size))
+        few = _edges(contexts.join(many, "f", "left_anti"), size)
+        edges = few.union(_edges_of_large_groups(contexts.join(many, "f", "left_semi"), size))
     else:
         edges = _edges(contexts, size)
     ranges = stage(inside.union(edges).groupBy(*KEY).agg(F.collect_set(F.struct("a", "b")).alias("_ranges")), "ranges")
@@ -211,7 +211,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             columns = [single(batch, c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, kind), pa.array(left, pa.binary())], names=[*names, spans, kept])
 
-    joined = keyed.join(broadcast_if_small(ranges, 50_000), [keyed[k].eqNullSafe(ranges[k]) for k in KEY], "left").select(*(keyed[c] for c in names), "_t", "_ranges")
+    joined = keyed.join(ranges, [keyed[k].eqNullSafe(ranges[k]) for k in KEY], "left").select(*(keyed[c] for c in names), "_t", "_ranges")
     gone = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField(spans, gone), T.StructField(kept, T.BinaryType())])
     return joined.mapInArrow(run, schema)
