@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from provenant.functions import text as fn
 from provenant.operators import answer, cleaning, dedupe, enrich, evaluate, retrieve, segment, verify
 
+from provenant.session import checkpointed
+
 from . import tables
 from .tables import table
 
@@ -75,7 +77,7 @@ def dedupe_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each document survives; of two the one with the lesser (language, length of source) stays."""
     d = table(spark, sf_dir, "documents")
     preference = d.select(F.col("doc_id").alias("doc"), F.struct(F.col("lang"), F.length("source")).alias("pref"))
-    report = dedupe.resolve(_pairs(spark, sf_dir).checkpoint(), preference)
+    report = dedupe.resolve(checkpointed(_pairs(spark, sf_dir)), preference)
     return d.select("doc_id").join(report.select(F.col("dropped").alias("doc_id"), F.lit(False).alias("_s")), "doc_id", "left").select("doc_id", F.coalesce("_s", F.lit(True)).alias("survives"))
 
 
