@@ -188,7 +188,7 @@ def _search(spark: SparkSession, sf_dir: str, k: int = retrieve.TOP_K) -> tuple[
     named = c.chunks.select("chunk_id", F.col("doc_type").alias("doc_title"), F.col("source").alias("article"))
     required = enrich.required_chunks(c.queries, tables.required_rules(spark), named)
     hits = retrieve.search(c.queries, c.dense(), c.sparse(), c.scored, tables.word_score(), pinned=pinned, required=required, is_capped=F.col("doc_type") == tables.CAPPED_LANG, k=k)
-    return c, hits
+    return c, checkpointed(hits)  # some rows a query, which what follows reads several times
 
 
 def rerank_cap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,6 +197,13 @@ def rerank_cap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cases(c: tables.Corpus) -> DataFrame:
+    """The cases of each query: a few rows, kept."""
+    if "cases" not in c.kept:
+        c.kept["cases"] = checkpointed(_find_cases(c))
+    return c.kept["cases"]
+
+
+def _find_cases(c: tables.Corpus) -> DataFrame:
     first = F.lower(F.regexp_extract("text", r"^(\p{L}+)", 1))
     keywords = c.chunks.where(F.col("doc_type") == tables.CASE_LANG).select(F.col("source").alias("case_id"), first.alias("w")).where(F.length("w") >= 4).groupBy("case_id").agg(F.array_sort(F.collect_set("w")).alias("keywords"))
     members = c.scored.withColumn("case_id", F.col("source"))

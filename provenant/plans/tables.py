@@ -6,13 +6,14 @@ items and turns of conversations for queries. Rankings are lexical: shared words
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenant.functions.text import char_shingles, words
 from provenant.operators import retrieve
+from provenant.session import checkpointed
 
 CASE_LANG, CAPPED_LANG = "fr", "es"
 GLOSSARY = (("idiot|moron", "insult"), ("(^| )the (re|in)", "article"), ("tion", "noun"), ("que|und", "conjunction"))
@@ -28,8 +29,10 @@ MUST = ("the|le|der", "License|Lizenz", "tion", "1000|2000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the Parquet tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the Parquet tables; a table of fewer file splits than cores is dealt to all cores, since its texts are dear to work on."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -68,14 +71,21 @@ class Corpus:
     chunks: DataFrame
     queries: DataFrame
 
-    def ranking(self, tokens: str, weight: Column, case: bool = False) -> DataFrame:
-        """The best 30 chunks of each query by shared tokens, among cases or others."""
-        side = F.col("doc_type") == CASE_LANG if case else F.col("doc_type") != CASE_LANG
-        count = lambda x, key: x.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(weight.alias("weight"))
-        wanted = count(self.queries, "query_id")
-        # only tokens that some query has are counted at all
-        held = self.chunks.where(side).select("chunk_id", F.explode(tokens).alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
-        return retrieve.sparse_top(wanted, held.groupBy("chunk_id", "token").agg(weight.alias("weight")))
+    kept: dict[str, DataFrame] = field(default_factory=dict)
+
+    def ranking(self, tokens: str, weight: Column, case: bool) -> DataFrame:
+        """The best 30 chunks of each query by shared tokens, among cases or others. Both are ranked in one pass, which is kept: some rows a query."""
+        if tokens not in self.kept:
+            wanted = self.queries.select("query_id", F.explode(tokens).alias("token")).groupBy("query_id", "token").agg(weight.alias("weight"))
+            # only tokens that some query has are counted at all
+            side = F.col("doc_type") == CASE_LANG
+            held = self.chunks.select("chunk_id", side.alias("side"), F.explode(tokens).alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
+            held = held.groupBy("chunk_id", "side", "token").agg(weight.alias("weight"))
+            # a query asked of each side is two queries to the ranking
+            asked = wanted.withColumn("side", F.explode(F.array(F.lit(False), F.lit(True)))).withColumns({"query_id": F.struct("query_id", "side"), "token": F.struct("token", "side")}).drop("side")
+            ranked = retrieve.sparse_top(asked, held.select("chunk_id", F.struct("token", "side").alias("token"), "weight"))
+            self.kept[tokens] = checkpointed(ranked.select("query_id.query_id", "query_id.side", "chunk_id", "score", "rank"))
+        return self.kept[tokens].where(F.col("side") == F.lit(case)).drop("side")
 
     def dense(self, case: bool = False) -> DataFrame:
         """By distinct runs of six characters."""
