@@ -11,7 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.functions.text import char_shingles, words
+from provenant.functions.shingles import shingle_hashes
+from provenant.functions.text import words
 from provenant.operators import retrieve
 from provenant.session import checkpointed
 
@@ -108,8 +109,7 @@ class Corpus:
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     """Documents as chunks, benchmark items as queries."""
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    grams = F.transform(char_shingles(F.col("text")), lambda x: F.xxhash64(x))
-    own = [words(F.col("text")).alias("words"), grams.alias("grams")]
+    own = [words(F.col("text")).alias("words"), shingle_hashes(F.col("text")).alias("grams")]
     return Corpus(
         d.select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("doc_type"), "source", "text", *own),
         b.select(F.col("item_id").alias("query_id"), "text", *own),

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from provenant.functions import text as fn
+from provenant.functions.shingles import hashes
 from provenant.functions.vectors import cosine
 
 
@@ -78,3 +79,10 @@ def test_missing_points(spark):
 def test_cosine(spark):
     rows = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [0.0, 2.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     assert [r[0] for r in rows.select(cosine(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, None]
+
+
+@given(st.text("ab，。“ 　\u2028éあ😀(c", max_size=40))
+def test_shingle_hashes_are_of_the_same_sets(text):
+    bare = re.sub(r"[\s，。、；：（）()“”\"'【】《》]", "", text)
+    assert len(hashes(text)) == len({bare[i : i + 6] for i in range(len(bare) - 5)})
+    assert (hashes(text) == hashes(bare)).all()
