@@ -34,13 +34,11 @@ SETTLED_ACROSS = (
     r"(国内|境内).{0,6}(收|付|给|转).{0,4}人民币.{0,20}"
     r"(国外|境外|海外|香港|澳门).{0,8}(付|给|收|拿|到账|代付|支付|付款)"
 )
-CARDS = r"(出租|出借|出售|借|租|卖).{0,4}(银行卡|账户|U盾|网银)|(银行卡|账户|U盾|网银).{0,6}(借|租|卖)给"
-UNDECLARED = r"(不|没有?|未)(向海关)?(申报|报关|报备)|漏报"
 GLOSSARY = (
-    (r"走账|过账|跑分|刷流水|" + CARDS + r"|卖卡|收卡|卡农|两卡", "帮助信息网络犯罪活动罪 提供支付结算帮助 出租、出借、出售银行账户 电话卡"),
+    (r"走账|过账|跑分|刷流水|(出租|出借|出售|借|租|卖).{0,4}(银行卡|账户|U盾|网银)|(银行卡|账户|U盾|网银).{0,6}(借|租|卖)给|卖卡|收卡|卡农|两卡", "帮助信息网络犯罪活动罪 提供支付结算帮助 出租、出借、出售银行账户 电话卡"),
     (r"地下钱庄|私下换汇|换汇黄牛|对敲|对冲换汇|私人换汇|" + SETTLED_ACROSS, "非法买卖外汇 变相买卖外汇 资金跨国（境）兑付 对敲型地下钱庄 两地平衡 非法从事资金支付结算业务 非法经营罪"),
     (r"洗白|漂白|黑钱|赃款|(贩毒|诈骗|受贿|贪污|走私|集资|赌博|盗窃).{0,6}(的钱|所得|赚的|收益|款)", "洗钱 掩饰、隐瞒犯罪所得及其收益的来源和性质"),
-    (UNDECLARED, "违反规定携带外汇出入境 处罚 海关申报"),
+    (r"(不|没有?|未)(向海关)?(申报|报关|报备)|漏报", "违反规定携带外汇出入境 处罚 海关申报"),
     (r"上游犯罪", "洗钱罪 刑法第一百九十一条 毒品犯罪 黑社会性质的组织犯罪 恐怖活动犯罪 走私犯罪 贪污贿赂犯罪 破坏金融管理秩序犯罪 金融诈骗犯罪"),
     (r"带.{0,4}(现金|美元|外币|钱).{0,6}(出境|出国|出关)|出境.{0,6}带.{0,4}(现金|美元|外币|钱)", "携带外币现钞出境 携带外汇出境许可证 海关申报"),
     (r"换成?美元|买美元|兑换.{0,4}(美元|外币|外汇)|换外币|换汇|每年.{0,4}能换|购汇", "个人购汇 年度便利化额度 等值5万美元"),
@@ -60,8 +58,8 @@ EXCHANGE_DECISION = "全国人民代表大会常务委员会关于惩治骗购
 REQUIRED = (
     (r"(?<!反)洗钱|洗白|掩饰.{0,4}隐瞒", ((CRIMINAL_LAW, "第一百九十一条"), (CRIMINAL_LAW, "第三百一十二条"))),
     (r"集资", ((CRIMINAL_LAW, "第一百七十六条"), (CRIMINAL_LAW, "第一百九十二条"))),
-    (UNDECLARED, ((EXCHANGE_RULES, "第四十二条"), (CUSTOMS_PENALTIES, "第十九条"))),
-    (CARDS + r"|卖卡|收卡|两卡", ((FRAUD_LAW, "第三十一条"),)),
+    (r"(不|没有?|未)(向海关)?(申报|报关|报备)|漏报", ((EXCHANGE_RULES, "第四十二条"), (CUSTOMS_PENALTIES, "第十九条"))),
+    (r"(出租|出借|出售|借|租|卖).{0,4}(银行卡|账户|U盾|网银)|(银行卡|账户|U盾|网银).{0,6}(借|租|卖)给|卖卡|收卡|两卡", ((FRAUD_LAW, "第三十一条"),)),
     (
         r"对敲|地下钱庄|对冲换汇|换汇黄牛|私下(买卖|换|兑换).{0,4}(外汇|美元|外币|港币)|" + SETTLED_ACROSS,
         ((BANK_ANSWERS, "第5问"), (BANK_READING, "第二条"), (EXCHANGE_RULES, "第四十五条"), (CRIMINAL_LAW, "第二百二十五条")),
