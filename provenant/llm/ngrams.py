@@ -209,7 +209,7 @@ def overlap_rows(sets: list[np.ndarray], dtype=np.float32, cells: int = 1 << 24)
     on = shared[inverse]
     owner, column = owner[on], place[inverse[on]]
     width = int(shared.sum())
-    out = np.zeros((n, n), dtype)
+    out = np.zeros((n, n))  # parts are exact in float32, their sums in float64
     step = max(1, cells // n)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
@@ -221,6 +221,15 @@ def overlap_rows(sets: list[np.ndarray], dtype=np.float32, cells: int = 1 << 24)
     return out
 
 
+def reached(both: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs have a similarity of at least ``threshold``, exactly: ``both`` and ``size`` are whole numbers.
+
+    Division in float64 rounds correctly, so a quotient equal to the threshold as written gives that very number.
+    """
+    both = both.astype(np.float64)
+    return both / (size[:, None] + size[None, :] - both) >= threshold
+
+
 def verified(members: DataFrame, text: str, threshold: float) -> DataFrame:
     """Step 5: rows (u, v, links): a forest of the exact links (links 0), and for each class the documents that a task links it with (v null)."""
 
@@ -237,9 +246,7 @@ def verified(members: DataFrame, text: str, threshold: float) -> DataFrame:
             u, v, links = [], [], []
             for a, b in zip(start, [*start[1:], len(node)], strict=True):
                 size = np.array([len(s) for s in sets[a:b]])
-                both = overlap_rows(sets[a:b])
-                # both / union >= threshold, in numbers that are exact
-                linked = both * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-6
+                linked = reached(overlap_rows(sets[a:b]), size, threshold)
                 np.fill_diagonal(linked, False)
                 if not own[a]:
                     linked &= block[a:b, None] != block[None, a:b]

@@ -380,3 +380,20 @@ def test_pruning_keeps_the_threshold():
         assert sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(m)) < 1e-6  # a pair at the threshold is all but never dropped
 
 
+def test_pairs_at_the_threshold_are_linked(spark):
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    texts = []
+    for k, (shared, united) in enumerate([(12, 15), (24, 30), (28, 35), (11, 14), (27, 34)]):
+        texts += [words(f"t{k}x", united + 4), words(f"t{k}x", shared + 4)]
+    got = {r["doc_id"]: (r["_links"], r["_component"], r["_kept"]) for r in ngrams.similarity_join(frame(spark, texts)).collect()}
+    for i in (0, 2, 4):
+        assert (got[i], got[i + 1]) == ((1, i, True), (1, i, False))
+    for i in (6, 8):  # 11/14 and 27/34 are just below
+        assert (got[i], got[i + 1]) == ((0, i, True), (0, i + 1, True))
+
+
+def test_ties_at_the_threshold_of_every_size():
+    for k in range(1, 2001):
+        for shared, linked in ((4 * k, True), (4 * k - 1, False)):
+            both = np.array([[5 * k, shared], [shared, shared]], np.float32)
+            assert ngrams.reached(both, np.array([5 * k, shared]), 0.8)[0, 1] == linked
