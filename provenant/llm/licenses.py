@@ -1,15 +1,20 @@
 """License scans by conditional compression.
 
-Candidate blocks are the stretches of a text that start at a line or sentence with a cue word of licensing, as long as
-a template plus some slack. A block is compressed with each template as a zstandard raw dictionary; the templates
-are ranked by how much smaller that makes it than without one. The best ranks are then confirmed or not by the exact
-wording: the words of block and template are aligned, every difference is listed, and a template wins only with few
-differences, none of them in a word with a digit (a version).
+Around each cue word of licensing, as many words as the longest template has, and some slack, are looked at. A block may start
+wherever one of a template's first words stands, at a line, a sentence or within one; what precedes it doesn't count. If the
+first of them are missing, the words in their places count as differences, back to the line's or sentence's start. Only blocks
+that hold enough of a template's words can be its wording. Such a block is compressed with the template as a zstandard raw
+dictionary, which must make it smaller than without one. It is then confirmed or not by the exact wording: the words of
+block and template are aligned, every difference is listed, and a template wins only with few differences, none of them in a
+word with a digit (a version). Of wordings that overlap, the one with the fewest differences wins, then the longest. Line breaks and comment
+marks between words don't matter, neither to the words nor to the compression.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -47,12 +52,12 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("LicenseRef-all-rights-reserved", "All rights reserved."),
 )
-CUE = re.compile(r"licen[cs]|copyright|permission|redistribut|public domain|rights reserved|creative commons|free software", re.I)
+CUE = re.compile(r"licen[cs]|copyright|permission|redistribut|public[\W_]+domain|rights[\W_]+reserved|creative[\W_]+commons|free[\W_]+software", re.I)
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
-#: Templates looked at word by word, least share of the block's size saved, and most differences as a share of the template's words.
-RANKS, LEAST_SAVED, MOST_DIFFERENT = 3, 0.25, 0.12
-#: What may end a sentence or line before a block starts, looked for so many characters back.
-EDGE, BACK = re.compile(r"[\n]|[.!?]\s"), 400
+#: Least share of the block's size saved, and most differences as a share of the template's words.
+LEAST_SAVED, MOST_DIFFERENT = 0.25, 0.12
+#: What ends a sentence or line.
+EDGE = re.compile(r"[\n]|[.!?]\s")
 LEVEL = 6
 
 
@@ -62,26 +67,27 @@ class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES):
         self.templates = templates
         self.words = [[w.lower() for w in WORD.findall(t)] for _, t in templates]
-        self.longest = max((int(len(t) * 1.2) + 40 for _, t in templates), default=0)
+        self.counts = [Counter(w) for w in self.words]
+        self.most = [int(max(1, MOST_DIFFERENT * len(w))) for w in self.words]
+        self.lengths = [int(len(w) * 1.2) + 4 for w in self.words]  # words of a block
+        self.reach = max(self.lengths, default=0)
         make = lambda **k: zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_dict_id=False, **k)
         self.plain = make()
-        self.given = [make(dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
-        self.known: dict[str, tuple | None] = {}
+        self.texts = [" ".join(w) for w in self.words]
+        self.given = [make(dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in self.texts]
 
-    def ranked(self, block: str) -> list[tuple[float, int]]:
-        """(share of the size saved, template), the best first. The block is cut to each template's length and slack."""
-        out = []
-        for k, (_, t) in enumerate(self.templates):
-            data = block[: int(len(t) * 1.1) + 8].lower().encode()
-            alone = len(self.plain.compress(data))
-            out.append((1 - len(self.given[k].compress(data)) / alone, k))
-        return sorted(out, key=lambda x: (-x[0], x[1]))
-
-    def differences(self, block: str, k: int) -> tuple[list[str], int]:
-        """The wording differences of the block's start from a template (``-word`` lacks, ``+word`` adds), and where the wording ends."""
+    def saved(self, have: list[str], k: int) -> float:
+        """The share of a block's size that a template saves. The block is cut to the template's length and slack."""
+        data = " ".join(have)[: int(len(self.texts[k]) * 1.1) + 8].encode()
+        return 1 - len(self.given[k].compress(data)) / len(self.plain.compress(data))
+
+    def enough(self, have: Counter, k: int) -> bool:
+        """Whether words hold so many of a template's that the rest could be its allowed differences."""
+        return sum(min(n, have[w]) for w, n in self.counts[k].items()) >= len(self.words[k]) - self.most[k]
+
+    def differences(self, have: list[str], k: int) -> tuple[list[str], int]:
+        """The wording differences of a block's start from a template (``-word`` lacks, ``+word`` adds), and the words that the wording has."""
         want = self.words[k]
-        places = list(WORD.finditer(block))[: int(len(want) * 1.2) + 4]
-        have = [m[0].lower() for m in places]
         ops = SequenceMatcher(None, want, have, autojunk=False).get_opcodes()
         if ops and ops[-1][0] == "insert":  # what follows the wording
             ops.pop()
@@ -89,46 +95,65 @@ class Scanner:
             _, i, j, a, b = ops.pop()
             ops.append(("replace", i, j, a, min(b, a + j - i)))
         out = [x for op, i, j, a, b in ops if op != "equal" for x in (*(f"-{w}" for w in want[i:j]), *(f"+{w}" for w in have[a:b]))]
-        return out, places[ops[-1][4] - 1].end() if ops and ops[-1][4] else 0
+        return out, ops[-1][4] if ops else 0
+
+    def wordings(self, text: str) -> list[tuple[int, float, list[str], int, int]]:
+        """(template, share saved, differences, start, end) of all confirmed wordings of a whole text, the best first."""
+        cues = [m.start() for m in CUE.finditer(text)]
+        if not cues or not self.reach:
+            return []
+        places = [m.span() for m in WORD.finditer(text)]
+        words = [text[a:b].lower() for a, b in places]
+        begins = [a for a, _ in places]
+        regions: list[list[int]] = []
+        for cue in cues:
+            at = bisect_right(begins, cue) - 1
+            if regions and at - self.reach <= regions[-1][1]:
+                regions[-1][1] = at + self.reach
+            else:
+                regions.append([max(0, at - self.reach), at + self.reach])
+        out = []
+        for low, high in regions:
+            held = Counter(words[low:high])
+            for k, want in enumerate(self.words):
+                if not want or not self.enough(held, k):
+                    continue
+                first = want[: self.most[k] + 1]  # a wording has one of these
+                starts = set()
+                for i in range(low, min(high, len(words))):
+                    if words[i] in first:
+                        for j in (j for j, w in enumerate(first) if w == words[i]):
+                            start = i
+                            while start > i - j and start > 0 and not EDGE.search(text[places[start - 1][1] : places[start][0]]):
+                                start -= 1
+                            starts.add(start)
+                for start in sorted(starts):
+                    have = words[start : start + self.lengths[k]]
+                    if not self.enough(Counter(have), k) or (saved := self.saved(have, k)) < LEAST_SAVED:
+                        continue
+                    found, n = self.differences(have, k)
+                    if len(found) > self.most[k] or any(re.search(r"\d", x) for x in found):
+                        continue
+                    a, b = places[start][0], places[start + n - 1][1]
+                    if bisect_left(cues, a) < bisect_left(cues, b):  # it has a cue
+                        out.append((k, saved, found, a, b))
+        return sorted(out, key=lambda x: (len(x[2]), -len(self.words[x[0]]), x[3], x[0]))
 
     def match(self, block: str) -> tuple[int, float, list[str], int] | None:
-        """(template, share saved, differences, end in the block) of the confirmed winner."""
-        best = None
-        for saved, k in self.ranked(block)[:RANKS]:
-            if saved < LEAST_SAVED:
-                continue
-            found, end = self.differences(block, k)
-            if len(found) <= max(1, MOST_DIFFERENT * len(self.words[k])) and not any(re.search(r"\d", x) for x in found):
-                if best is None or (len(found), -len(self.words[k])) < (len(best[2]), -len(self.words[best[0]])):
-                    best = (k, saved, found, end)
-        return best
+        """(template, share saved, differences, end in the block) of the best wording of a block."""
+        return next(((k, saved, found, end) for k, saved, found, _, end in self.wordings(block)), None)
 
     def scan(self, text: str | None) -> list[dict]:
         """The license passages of a whole text, in order, not overlapping."""
-        out, done, tried = [], 0, -1
-        for cue in CUE.finditer(text or ""):
-            if cue.start() < done:
-                continue
-            at = max(done, cue.start() - BACK)
-            edges = [m.end() for m in EDGE.finditer(text, at, cue.start())]
-            start = edges[-1] if edges else at
-            while start < len(text) and text[start].isspace():
-                start += 1
-            if start == tried:
+        taken: list[tuple[int, int]] = []
+        out = []
+        for k, saved, different, start, end in self.wordings(text or ""):
+            at = bisect_left(taken, (start, end))
+            if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < end):
                 continue
-            tried = start
-            block = text[start : start + self.longest]
-            if block in self.known:
-                found = self.known[block]
-            else:
-                if len(self.known) > 20_000:
-                    self.known.clear()
-                found = self.known[block] = self.match(block)
-            if found:
-                k, saved, different, end = found
-                done = start + end
-                out.append({"license": self.templates[k][0], "start": start, "end": done, "saved": round(saved, 4), "different": different})
-        return out
+            taken.insert(at, (start, end))
+            out.append({"license": self.templates[k][0], "start": start, "end": end, "saved": round(saved, 4), "different": different})
+        return sorted(out, key=lambda x: x["start"])
 
 
 FOUND = T.ArrayType(

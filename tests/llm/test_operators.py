@@ -333,6 +333,28 @@ def test_licenses(spark):
     assert licenses.scan(docs.where("false")).count() == 0 and licenses.Scanner(()).scan("MIT License") == []
 
 
+def test_licenses_wrapped_and_within_sentences():
+    scanner = licenses.Scanner()
+
+    def found(text):
+        return [(x["license"], x["different"], text[x["start"] : x["end"]]) for x in scanner.scan(text)]
+
+    for name, t in licenses.TEMPLATES:
+        wording = t[: list(licenses.WORD.finditer(t))[-1].end()]
+        for m in re.finditer(" ", wording):
+            for gap in ("\n", "\n * ", "\r\n# "):
+                wrapped = wording[: m.start()] + gap + wording[m.end() :]
+                assert found(f"A line.\n{wrapped}. More of it.") == [(name, [], wrapped)]
+        narrow = wording.replace(" ", "\n    // ")
+        assert found(f"// {narrow}.\n") == [(name, [], narrow)]
+        inside = wording[0].lower() + wording[1:]
+        assert found(f"As far as we know, this small project here is {inside}, as others are.") == [(name, [], inside)]
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this file"
+    assert [x[0] for x in found(mpl)] == ["MPL-2.0"]
+    assert [x[0] for x in found("This project is licensed under the MIT License.")] == ["MIT"]
+    assert found("No rights reserved.") == found("It has some rights reserved.") == [] and found("This is licensed under the\nApache License, Version 9.0.") == []
+
+
 # ---- 10
 
 
