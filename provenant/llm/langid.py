@@ -35,21 +35,44 @@ Learned = dict[str, tuple[bytes, int]]
 def learn_dictionaries(docs: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "text", lang: str = "lang", texts: int = DICTIONARY_TEXTS, size: int = DICTIONARY_BYTES) -> Learned:
     """A raw dictionary for each non-null language of the learning rows, and its number of rows.
 
-    Languages are cut into ``texts`` hash ranges of the key, and the row with the least hash of each range is taken; so
-    only hashes are grouped, with partial sums, and at most ``texts`` texts a language come to the driver, each cut to its share.
+    Languages are cut into ``texts`` hash ranges of the text, and the text with the least hash of each range is drawn, once for all
+    its copies; so only hashes are grouped, with partial sums. Of each drawn text one piece from a hashed place comes to the driver;
+    pieces are sized so that all of them, with short texts whole, fill ``size`` bytes and none is dropped.
     """
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    h = F.xxhash64(F.lit(5), F.col(key))
-    least = rows.groupBy(F.col(lang).cast("string").alias("l"), F.pmod(h, F.lit(texts)).alias("r")).agg(F.min(h).alias("h"), F.count("*").alias("n")).collect()
-    if not least:
-        return {}
-    chosen = docs.sparkSession.createDataFrame([(r["h"],) for r in least], "_h long").distinct()
-    share = max(256, size // texts * 4)
-    picked = rows.select(F.col(lang).cast("string").alias("l"), h.alias("_h"), F.substring(F.col(text), 1, share).alias("t")).join(F.broadcast(chosen), "_h").distinct()
-    samples: dict[str, list[bytes]] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r["l"], r["_h"], r["t"])):
-        samples.setdefault(r["l"], []).append(r["t"].lower().encode())
-    return {lang: (b"\n".join(parts)[-size:], sum(r["n"] for r in least if r["l"] == lang)) for lang, parts in samples.items()}
+    rows = rows.select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t"), F.xxhash64(F.lit(5), F.col(text)).alias("_h"), F.octet_length(F.col(text)).alias("bytes"))
+    drawn = F.when(F.col("bytes") > 0, F.struct("_h", "bytes"))
+    least = rows.groupBy("l", F.pmod("_h", F.lit(texts)).alias("r")).agg(F.min(drawn).alias("d"), F.count("*").alias("n")).collect()
+    counts: dict[str, int] = {}
+    sizes: dict[str, dict[int, int]] = {}
+    for r in least:
+        counts[r["l"]] = counts.get(r["l"], 0) + r["n"]
+        mine = sizes.setdefault(r["l"], {})
+        if r["d"]:
+            mine[r["d"]["_h"]] = r["d"]["bytes"]
+    caps = {x: share(list(mine.values()), size - len(mine) + 1) for x, mine in sizes.items()}
+    samples: dict[str, list[bytes]] = {x: [] for x in sizes}
+    chosen = [(x, h, caps[x]) for x, mine in sizes.items() for h in mine]
+    if chosen:
+        near = F.broadcast(docs.sparkSession.createDataFrame(chosen, "l string, _h long, cap int"))
+        chars = F.char_length("t")
+        take = F.when(F.col("bytes") <= F.col("cap"), chars).otherwise(F.greatest(F.lit(1), F.floor(F.col("cap") / F.col("bytes") * chars))).cast("int")
+        place = F.pmod(F.xxhash64(F.lit(6), F.col("t")), (chars - take + 1).cast("long")).cast("int") + 1
+        picked = rows.join(near, ["l", "_h"]).select("l", "_h", "cap", F.substring(F.col("t"), place, take).alias("t")).groupBy("l", "_h", "cap").agg(F.min("t").alias("t"))
+        for r in sorted(picked.collect(), key=lambda r: (r["l"], r["_h"])):
+            samples[r["l"]].append(r["t"].lower().encode()[: r["cap"]])  # a piece's characters may be a few bytes longer than the text's are on average
+    return {x: (b"\n".join(parts), counts[x]) for x, parts in samples.items()}
+
+
+def share(sizes: list[int], most: int) -> int:
+    """The largest cap with which sizes cut to it have at most ``most`` in all."""
+    left, cap = most, 0
+    for i, n in enumerate(sorted(sizes)):
+        cap = left // (len(sizes) - i)
+        if n > cap:
+            return max(cap, 1)
+        left -= n
+    return max(sizes, default=0)
 
 
 class Classifier:

@@ -206,6 +206,25 @@ def test_language(spark):
     assert langid.predict(docs.limit(2), {}).first()["_lang"] == langid.UNKNOWN and langid.learn_dictionaries(docs.where("false"), F.lit(True)) == {}
 
 
+def test_language_learns_from_whole_distinct_texts(spark):
+    opening = "the same opening stands before every text " * 60
+    long = [(i, opening + f"m{i}é " * 1500, "aa") for i in range(600)]
+    copies = [(1000 + i, "copied " + f"c{i // 300}x " * 300, "bb") for i in range(300)] + [(2000 + i, f"d{i}x " * 300, "bb") for i in range(600)]
+    docs = spark.createDataFrame([*long, *copies, (5000, "", "cc")], "doc_id long, text string, lang string")
+    learned = langid.learn_dictionaries(docs, F.lit(True))
+    assert {x: n for x, (_, n) in learned.items()} == {"aa": 600, "bb": 900, "cc": 1}
+    assert all(len(d) <= langid.DICTIONARY_BYTES for d, _ in learned.values()) and len(learned["aa"][0]) > 0.9 * langid.DICTIONARY_BYTES
+    assert len(set(re.findall(r"m\d+é", learned["aa"][0].decode(errors="ignore")))) > 150  # more than openings, of nearly all that are drawn
+    assert learned["bb"][0].count(b"c0x") * 4 < 3 * langid.DICTIONARY_BYTES // 256  # copies are one text
+    assert learned["cc"][0] == b"" and langid.predict(docs.limit(1), learned).count() == 1
+
+
+def test_shares_fill_the_dictionary():
+    for sizes in ([], [5], [1, 2, 300], [50] * 10, [1000, 1, 70, 70]):
+        cap = langid.share(sizes, 200)
+        assert sum(min(n, cap) for n in sizes) <= 200 and (cap >= max(sizes, default=0) or sum(min(n, cap + 1) for n in sizes) > 200)
+
+
 # ---- 6
 
 
