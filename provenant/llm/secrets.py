@@ -1,10 +1,10 @@
 """Secret scans by a trigram inverted index; DataFrame and SQL functions only.
 
-For each rule a Boolean query over trigrams is derived from its regular expression: every match holds one of the
-rule's literal alternatives, and an alternative holds all its trigrams. Documents have keys in [0, 2 x documents);
+Each rule names literal alternatives, written by hand beside its regular expression: every match must hold one of them (a test
+draws matches from the parsed expressions), and an alternative holds all its trigrams. That gives the rule's Boolean query. Documents have keys in [0, 2 x documents);
 the index has, for each trigram that a query names and each run of 32,768 keys, a bitmap of the documents that hold
 it (postings). A query intersects the bitmaps of an alternative's trigrams and unites the alternatives; only the
-candidates are verified with the regular expression. A rule without mandatory trigrams scans every document.
+candidates are verified with the regular expression. A rule without alternatives scans every document, whatever its expression.
 The postings of trigrams that no rule asks for are never needed, so they aren't stored.
 """
 

@@ -189,6 +189,37 @@ def test_every_match_holds_a_trigram_alternative():
     assert secrets.Rule("x", "ab", alternatives=("ab",)).clauses() == []  # too short for trigrams: scans fully
 
 
+def drawn(tree, rng, folded=False):
+    """A random match of a parsed regular expression."""
+    out = ""
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += rng.choice([chr(arg).lower(), chr(arg).upper()]) if folded else chr(arg)
+        elif name == "IN":
+            kind, value = rng.choice(arg)
+            out += chr(value if str(kind) == "LITERAL" else rng.randint(*value))
+        elif name == "MAX_REPEAT":
+            low, high, inner = arg
+            out += "".join(drawn(inner, rng, folded) for _ in range(rng.randint(low, min(int(high), low + 3))))
+        elif name == "SUBPATTERN":
+            out += drawn(arg[3], rng, folded or bool(arg[1] & re.IGNORECASE))
+        elif name == "BRANCH":
+            out += drawn(rng.choice(arg[1]), rng, folded)
+        else:
+            raise NotImplementedError(name)
+    return out
+
+
+def test_every_match_of_a_rule_holds_one_of_its_alternatives():
+    rng = random.Random(11)
+    lacking = lambda r: sum(not any(a in m.lower() for a in r.alternatives) for m in (drawn(re._parser.parse(r.regex), rng) for _ in range(2000)))
+    for r in secrets.RULES:
+        assert all(re.search(r.regex, drawn(re._parser.parse(r.regex), rng)) for _ in range(50))
+        assert not r.alternatives or not lacking(r)
+    assert lacking(secrets.Rule("x", "ab(cd|ef)", alternatives=("abcd",)))  # one that doesn't cover its regex shows
+
+
 # ---- 5
 
 
