@@ -10,7 +10,7 @@ Patterns of one length m form a group with
 
 Documents are searched in lanes that jump in lockstep, so that each step is a NumPy operation.
 The pattern tables are broadcast; items are split into blocks of at most ``MAX_BLOCK_BYTES`` of text for that,
-and each block is a pass of its own over the documents, so the tables in memory are bounded for any benchmark.
+and each block is a scan of its own over the documents, so the tables in memory are bounded for any benchmark.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import single, stage, steps, utf8
+from .common import Sealed, mapped, single, stage, steps, utf8
 from .words import WORD_INV, WORD_P, Words, mix, rolled, window
 
 WINDOW = 13
@@ -57,16 +57,16 @@ class Group:
         x = last if before is None else last * np.uint64(3) + before
         return (mix(x) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def candidates(self, words: Words) -> np.ndarray:
-        """First words of the places at which the shift is 0."""
-        m, n = self.m, len(words)
+    def candidates(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """First words of the places at which the shift is 0; ``bounds``: the first word of each text, and the end of the last."""
+        m, n = self.m, len(hashes)
         slots = np.zeros(n, np.int64)
         if self.block == 2:
-            slots[1:] = self.slot(words.hash[1:], words.hash[:-1])
+            slots[1:] = self.slot(hashes[1:], hashes[:-1])
         else:
-            slots[:] = self.slot(words.hash, None)
+            slots[:] = self.slot(hashes, None)
         jump = self.shift[slots].astype(np.int64)
-        first, last = words.first[:-1], words.first[1:]
+        first, last = bounds[:-1], bounds[1:]
         span = np.maximum(last - first - (m - 1), 0)  # places where a window may end, for each document
         lanes = -(-span // LANE)
         doc = np.repeat(np.arange(len(span)), lanes)
@@ -86,7 +86,11 @@ class Group:
 
     def occurrences(self, words: Words, known: dict) -> Iterator[tuple[int, int]]:
         """(first word, pattern) of every occurrence, confirmed by comparing the words."""
-        first = self.candidates(words)
+        for low, high, bounds in words.parts(self.m - 1):
+            yield from self.confirmed(words, self.candidates(words.hash[low:high], bounds) + low, known)
+
+    def confirmed(self, words: Words, first: np.ndarray, known: dict) -> Iterator[tuple[int, int]]:
+        """The occurrences among candidates."""
         hashes = words.grams(first, self.m)
         at = np.searchsorted(self.hashes, hashes)
         at[at == len(self.hashes)] = 0
@@ -124,36 +128,40 @@ def search(raw: np.ndarray, offsets: np.ndarray, groups: list[Group], known: dic
     """For each text: number of words, hit spans [start, end) in words, and the items that occur."""
     words = Words(raw, offsets)
     n = len(offsets) - 1
-    covered = np.zeros(len(words) + 1, np.int64)
     items: list[set[int]] = [set() for _ in range(n)]
+    spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     for group in groups:
+        d = 0
         for i, k in group.occurrences(words, known):
-            covered[i] += 1
-            covered[i + group.m] -= 1
-            items[words.doc[i]].update(group.items[k])
-    # A window may end where the next document starts: spans are cut at documents.
-    inside = np.cumsum(covered[:-1]) > 0
-    edge = inside.copy()
-    edge[1:] &= ~inside[:-1] | (words.doc[1:] != words.doc[:-1])
-    start = np.flatnonzero(edge)
-    leave = inside.copy()
-    leave[:-1] &= ~inside[1:] | (words.doc[1:] != words.doc[:-1])
-    end = np.flatnonzero(leave) + 1
-    spans: list[list] = [[] for _ in range(n)]
-    for a, b in zip(start.tolist(), end.tolist(), strict=True):
-        d = words.doc[a]
-        spans[d].append((a - int(words.first[d]), b - int(words.first[d])))
-    return np.diff(words.first), spans, items
+            if not words.first[d] <= i < words.first[d + 1]:
+                d = int(words.doc(i))
+            items[d].update(group.items[k])
+            at, mine = i - int(words.first[d]), spans[d]
+            if mine and mine[-1][0] <= at <= mine[-1][1]:  # occurrences in order grow a span
+                mine[-1] = (mine[-1][0], max(mine[-1][1], at + group.m))
+            else:
+                mine.append((at, at + group.m))
+    return np.diff(words.first), [joined(x) for x in spans], items
+
+
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted disjoint spans that cover the same words; spans that touch are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
-def _pass(docs: DataFrame, text: str, found: str, groups: list[Group], ids: list[str]) -> DataFrame:
-    """One block of items over all documents: adds to, or makes, the struct column ``found``."""
+def _pass(docs: DataFrame, text: str, groups: list[Group], ids: list[str], only_found: bool = False) -> DataFrame:
+    """``docs`` with the struct column _found, for one block of items; ``only_found``: only (_rid, _found) of texts with occurrences."""
     tables = docs.sparkSession.sparkContext.broadcast((groups, ids))
-    had = found in docs.columns
     kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,15 +173,14 @@ def _pass(docs: DataFrame, text: str, found: str, groups: list[Group], ids: list
             for i, j in steps(offsets):
                 lengths, spans, items = search(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], groups, known)
                 out += [{"n_words": int(n), "spans": [{"start": a, "end": b} for a, b in s], "items": [ids[k] for k in sorted(x)]} for n, s, x in zip(lengths, spans, items, strict=True)]
-            if had:
-                for new, old in zip(out, single(batch, found).to_pylist(), strict=True):
-                    new["spans"] += old["spans"]
-                    new["items"] += old["items"]
-            columns = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != found]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, kind)], names=[*(x for x in batch.schema.names if x != found), found])
+            columns, names = batch.columns, batch.schema.names
+            if only_found:
+                some = pa.array([i for i, x in enumerate(out) if x["items"]], pa.int64())
+                out, columns, names = [x for x in out if x["items"]], [single(batch, "_rid").take(some)], ["_rid"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, kind)], names=[*names, "_found"])
 
-    schema = T.StructType([*(f for f in docs.schema.fields if f.name != found), T.StructField(found, FOUND)])
-    return docs.mapInArrow(run, schema)
+    fields = [T.StructField("_rid", T.LongType())] if only_found else docs.schema.fields
+    return mapped(docs, run, T.StructType([*fields, T.StructField("_found", FOUND)]))
 
 
 def merged(spans: Column) -> Column:
@@ -195,23 +202,35 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     A null or wordless text has no words, spans or items; so has every text if the benchmark is empty or has no words.
     Items with a null id count as an item named by the empty string; repeated ids are one item. Repeated
     documents are searched each by itself. Other columns pass through; one named ``found`` is replaced.
+
+    With several blocks of items the documents are staged once under row numbers; each further block is a scan of them that writes
+    only what it finds, and all that was found is joined at the end.
     """
-    docs = docs.drop(found)
+    sealed = Sealed(docs, found)
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(item_text).alias("t")).where(F.col("t").isNotNull())
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = -(-total // max_block_bytes) or 1
-    for k in range(blocks):
+
+    def tables(k: int) -> tuple[list[Group], list[str]]:
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k)
         rows = part.distinct().collect()  # the texts of one block: bounded by max_block_bytes, on average over the hash
-        docs = _pass(docs, text, found, build_groups([r["t"] for r in rows]), [r["id"] for r in rows])
-        if blocks > 1 and k < blocks - 1:
-            docs = stage(docs, "decontaminate")
-    tidy = F.struct(
-        F.col(found)["n_words"].alias("n_words"),
-        (merged(F.col(found)["spans"]) if blocks > 1 else F.col(found)["spans"]).alias("spans"),
-        F.array_sort(F.array_distinct(F.col(found)["items"])).alias("items"),
-    )
-    return docs.withColumn(found, tidy)
+        return build_groups([r["t"] for r in rows]), [r["id"] for r in rows]
+
+    if blocks == 1:
+        out, spans, names = _pass(sealed.df, sealed[text], *tables(0)), F.col("_found")["spans"], F.col("_found")["items"]
+    else:
+        numbered = stage(sealed.df.withColumn("_rid", F.monotonically_increasing_id()), "decontaminate")
+        slim = numbered.select("_rid", sealed[text])
+        more = stage(slim.limit(0).select("_rid", F.lit(None).cast(FOUND).alias("_found")), "decontaminate-found")
+        for k in range(1, blocks):
+            more = more.unionByName(stage(_pass(slim, sealed[text], *tables(k), only_found=True), "decontaminate-found"))
+        more = more.groupBy(F.col("_rid").alias("_other")).agg(F.flatten(F.collect_list("_found.spans")).alias("_spans"), F.flatten(F.collect_list("_found.items")).alias("_items"))
+        first = _pass(numbered, sealed[text], *tables(0))
+        out = first.join(more, F.col("_rid") == F.col("_other"), "left")
+        spans = merged(F.concat("_found.spans", F.coalesce("_spans", F.array().cast(SPANS))))
+        names = F.concat("_found.items", F.coalesce("_items", F.array().cast("array<string>")))
+    tidy = F.struct(F.col("_found")["n_words"].alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(names)).alias("items"))
+    return sealed.open(out, **{found: tidy})
 
 
 def hit_words(found: str = "_found") -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import single
+from .common import Sealed, mapped, single
 
 #: Bytes of learning text in a language's dictionary, and texts that it is drawn from: a bounded sample.
 DICTIONARY_BYTES, DICTIONARY_TEXTS = 96 << 10, 256
@@ -91,8 +91,11 @@ class Classifier:
 
     def sizes(self, text: bytes) -> np.ndarray:
         """Compressed size by language, summed over the blocks of the whole text."""
-        blocks = [text[i : i + BLOCK_BYTES] for i in range(0, len(text), BLOCK_BYTES)]
-        return np.array([sum(len(c.compress(b)) for b in blocks) for c in self.compressors]) + self.named
+        total = np.zeros(len(self.compressors))
+        for i in range(0, len(text), BLOCK_BYTES):
+            block = text[i : i + BLOCK_BYTES]
+            total += [len(c.compress(block)) for c in self.compressors]
+        return total + self.named
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score in [0, 1], whether rejected. A text that is null or has no letter is unknown, with score 0, and rejected."""
@@ -113,15 +116,17 @@ def predict(docs: DataFrame, dictionaries: Learned, *, text: str = "text", lang:
 
     Texts that are null, empty or without a letter are ``und``; so is every text if nothing was learned.
     """
-    docs = docs.drop(lang, score, rejected)
+    sealed = Sealed(docs, lang, score, rejected)
+    column = sealed[text]
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(shared.value)
         for batch in batches:
-            out = [classifier.predict(t.as_py()) for t in single(batch, text)]
+            out = [classifier.predict(t.as_py()) for t in single(batch, column)]
             names, scores, narrow = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(narrow, pa.bool_())], names=[*batch.schema.names, lang, score, rejected])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(narrow, pa.bool_())], names=[*batch.schema.names, "_lang", "_score", "_rejected"])
 
-    added = [T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType()), T.StructField(rejected, T.BooleanType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    added = [T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_rejected", T.BooleanType())]
+    found = mapped(sealed.df, run, T.StructType([*sealed.df.schema.fields, *added]))
+    return sealed.open(found, **{lang: F.col("_lang"), score: F.col("_score"), rejected: F.col("_rejected")})

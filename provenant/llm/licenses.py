@@ -21,9 +21,10 @@ from difflib import SequenceMatcher
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import single
+from .common import Sealed, mapped, single
 
 #: Licence wordings, by SPDX identifier. Fixed values.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -58,6 +59,8 @@ WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 LEAST_SAVED, MOST_DIFFERENT = 0.25, 0.12
 #: What ends a sentence or line.
 EDGE = re.compile(r"[\n]|[.!?]\s")
+#: Words of a long text that are looked at together.
+PORTION = 1 << 15
 LEVEL = 6
 
 
@@ -97,22 +100,42 @@ class Scanner:
         out = [x for op, i, j, a, b in ops if op != "equal" for x in (*(f"-{w}" for w in want[i:j]), *(f"+{w}" for w in have[a:b]))]
         return out, ops[-1][4] if ops else 0
 
+    def portions(self, text: str) -> Iterator[tuple[list[tuple[int, int]], int, int]]:
+        """The places of a text's words, PORTION at a time with what a wording reaches beyond on both sides, and which of them are the portion's own."""
+        held: list[tuple[int, int]] = []
+        own = 0
+        for m in WORD.finditer(text):
+            held.append(m.span())
+            if len(held) - own >= PORTION + 2 * self.reach:
+                yield held, own, own + PORTION
+                held = held[own + PORTION - 2 * self.reach :] if own + PORTION > 2 * self.reach else held
+                own = min(own + PORTION, 2 * self.reach)
+        yield held, own, len(held)
+
     def wordings(self, text: str) -> list[tuple[int, float, list[str], int, int]]:
         """(template, share saved, differences, start, end) of all confirmed wordings of a whole text, the best first."""
         cues = [m.start() for m in CUE.finditer(text)]
-        if not cues or not self.reach:
-            return []
-        places = [m.span() for m in WORD.finditer(text)]
-        words = [text[a:b].lower() for a, b in places]
+        out = {}
+        if cues and self.reach:
+            for places, low, high in self.portions(text):
+                for x in self.near_cues(text, cues, places, low, high):
+                    out[x[0], x[3], x[4]] = x
+        return sorted(out.values(), key=lambda x: (len(x[2]), -len(self.words[x[0]]), x[3], x[0]))
+
+    def near_cues(self, text: str, cues: list[int], places: list[tuple[int, int]], own: int, to: int) -> Iterator[tuple[int, float, list[str], int, int]]:
+        """The wordings around the cues in words ``own`` to ``to`` of some."""
         begins = [a for a, _ in places]
+        some = cues[bisect_left(cues, begins[own]) if own else 0 : bisect_left(cues, begins[to]) if to < len(places) else len(cues)] if places else []
+        if not some:
+            return
+        words = [text[a:b].lower() for a, b in places]
         regions: list[list[int]] = []
-        for cue in cues:
+        for cue in some:
             at = bisect_right(begins, cue) - 1
             if regions and at - self.reach <= regions[-1][1]:
                 regions[-1][1] = at + self.reach
             else:
                 regions.append([max(0, at - self.reach), at + self.reach])
-        out = []
         for low, high in regions:
             held = Counter(words[low:high])
             for k, want in enumerate(self.words):
@@ -136,8 +159,7 @@ class Scanner:
                         continue
                     a, b = places[start][0], places[start + n - 1][1]
                     if bisect_left(cues, a) < bisect_left(cues, b):  # it has a cue
-                        out.append((k, saved, found, a, b))
-        return sorted(out, key=lambda x: (len(x[2]), -len(self.words[x[0]]), x[3], x[0]))
+                        yield k, saved, found, a, b
 
     def match(self, block: str) -> tuple[int, float, list[str], int] | None:
         """(template, share saved, differences, end in the block) of the best wording of a block."""
@@ -168,12 +190,13 @@ def scan(docs: DataFrame, *, templates: tuple[tuple[str, str], ...] = TEMPLATES,
     Whole texts are scanned. A null or empty text has none; repeated rows have the same. Without templates nothing is found.
     Other columns pass through; one named ``found`` is replaced. Templates are few and fixed; they travel with the code.
     """
-    docs = docs.drop(found)
+    sealed = Sealed(docs, found)
+    column = sealed[text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
         for batch in batches:
-            rows = [scanner.scan(t.as_py()) for t in single(batch, text)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, ARROW)], names=[*batch.schema.names, found])
+            rows = [scanner.scan(t.as_py()) for t in single(batch, column)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, ARROW)], names=[*batch.schema.names, "_found"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(found, FOUND)]))
+    return sealed.open(mapped(sealed.df, run, T.StructType([*sealed.df.schema.fields, T.StructField("_found", FOUND)])), **{found: F.col("_found")})

@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, single, stage, steps, utf8
+from .common import Sealed, broadcast_if_small, mapped, single, stage, steps, utf8
 from .components import components, local_components
-from .words import WORD_INV, WORD_P, Words, mix, rolled, window
+from .words import PART, WORD_INV, WORD_P, Words, mix, ranges
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, CHUNK, TOLERANCE = 24, 4, 16, 1e-9
@@ -41,23 +41,37 @@ FACTOR = _RANDOM.integers(1, 1 << 63, HASHES, np.uint64) | np.uint64(1)
 SHIFT = _RANDOM.integers(0, 1 << 63, HASHES, np.uint64)
 
 
-def shingles(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of all texts in turn, with repeats, and the offset of each text's first."""
+def shingles(words: Words, n: int = SHINGLE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Hashes of the shingles of all texts in turn, with repeats, PART at a time: first text, one after the last, hashes, offset of each text's first."""
     count = np.diff(words.first)
     per = np.where(count >= n, count - n + 1, np.minimum(count, 1))
     first = np.concatenate([[0], np.cumsum(per)])
-    at = np.repeat(words.first[:-1] - first[:-1], per) + np.arange(first[-1])
-    return words.grams(at, np.repeat(np.minimum(count, n), per)), first
+    for a in range(0, int(first[-1]), PART):
+        b = min(a + PART, int(first[-1]))
+        i, j = int(np.searchsorted(first, a, side="right")) - 1, int(np.searchsorted(first, b))
+        mine = np.diff(np.clip(first[i : j + 1], a, b))
+        at = np.repeat(words.first[i:j] - first[i:j], mine) + np.arange(a, b)
+        yield i, j, words.grams(at, np.repeat(np.minimum(count[i:j], n), mine)), np.concatenate([[0], np.cumsum(mine)])
 
 
-def signatures(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
+def shingle_sets(words: Words) -> list[np.ndarray]:
+    """The distinct shingles of each text, ascending."""
+    sets: list[np.ndarray] = [np.zeros(0, np.uint64)] * (len(words.first) - 1)
+    for i, j, grams, first in shingles(words):
+        for k in range(i, j):
+            part = np.unique(grams[first[k - i] : first[k - i + 1]])
+            sets[k] = np.union1d(sets[k], part) if len(sets[k]) else part
+    return sets
+
+
+def signatures(words: Words) -> np.ndarray:
     """A row of MinHash values (uint32) for each text; all ones for a text without shingles."""
-    n = len(first) - 1
-    out = np.full((n, HASHES), 0xFFFFFFFF, np.uint32)
-    some = np.flatnonzero(np.diff(first))
-    if len(some):
+    out = np.full((len(words.first) - 1, HASHES), 0xFFFFFFFF, np.uint32)
+    for i, j, grams, first in shingles(words):
+        some = np.flatnonzero(np.diff(first))
         for k in range(HASHES):
-            out[some, k] = np.minimum.reduceat(((grams * FACTOR[k] + SHIFT[k]) >> np.uint64(32)).astype(np.uint32), first[some])
+            least = np.minimum.reduceat(((grams * FACTOR[k] + SHIFT[k]) >> np.uint64(32)).astype(np.uint32), first[some])
+            out[i + some, k] = np.minimum(out[i + some, k], least)
     return out
 
 
@@ -75,7 +89,7 @@ def need(threshold: float, tolerance: float = TOLERANCE) -> list[int]:
 
 def describe(docs: DataFrame, text: str) -> DataFrame:
     """All columns of ``docs``, and _rid, _h1, _h2 (hashes of the words in order), _n (words), _sig; staged."""
-    kept = docs.drop("_rid", "_h1", "_h2", "_n", "_sig").withColumn("_rid", F.monotonically_increasing_id())
+    kept = docs.withColumn("_rid", F.monotonically_increasing_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,10 +97,8 @@ def describe(docs: DataFrame, text: str) -> DataFrame:
             parts = []
             for i, j in steps(offsets):
                 words = Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                other = rolled(mix(words.hash + np.uint64(0x51ED270B)), WORD_P)
-                a, b = words.first[:-1], words.first[1:]
-                h1, h2 = words.grams(a, b - a), window(other, a, b, WORD_INV)
-                parts.append((h1.view(np.int64), h2.view(np.int64), b - a, signatures(*shingles(words))))
+                other = ranges(len(words), lambda a, b, w=words: mix(w.hash[a:b] + np.uint64(0x51ED270B)), words.first, WORD_P, WORD_INV)
+                parts.append((words.whole().view(np.int64), other.view(np.int64), np.diff(words.first), signatures(words)))
             if not parts:
                 parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, HASHES), np.uint32))]
             h1, h2, n, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -94,7 +106,7 @@ def describe(docs: DataFrame, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h1), pa.array(h2), pa.array(n), blob], names=[*batch.schema.names, "_h1", "_h2", "_n", "_sig"])
 
     added = [T.StructField("_h1", T.LongType()), T.StructField("_h2", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_sig", T.BinaryType())]
-    return stage(kept.mapInArrow(run, T.StructType([*kept.schema.fields, *added])), "described")
+    return stage(mapped(kept, run, T.StructType([*kept.schema.fields, *added])), "described")
 
 
 def blocked(members: DataFrame, group: str, node: str, size: int) -> DataFrame:
@@ -196,7 +208,7 @@ def candidate_edges(members: DataFrame, threshold: float) -> DataFrame:
                 u, v = edges_of(node, *(np.concatenate(z) for z in zip(*kept, strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return members.mapInArrow(run, "u long, v long")
+    return mapped(members, run, "u long, v long")
 
 
 def overlap_rows(sets: list[np.ndarray], dtype=np.float32, cells: int = 1 << 24) -> np.ndarray:
@@ -241,8 +253,7 @@ def verified(members: DataFrame, text: str, threshold: float) -> DataFrame:
             raw, offsets = utf8(table[text].combine_chunks())
             sets: list[np.ndarray] = []
             for i, j in steps(offsets):
-                grams, first = shingles(Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
-                sets += [np.unique(grams[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                sets += shingle_sets(Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
             u, v, links = [], [], []
             for a, b in zip(start, [*start[1:], len(node)], strict=True):
                 size = np.array([len(s) for s in sets[a:b]])
@@ -260,7 +271,7 @@ def verified(members: DataFrame, text: str, threshold: float) -> DataFrame:
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z).astype(np.int64)) for z in (u, v, links)], names=["u", "v", "links"])
 
-    return members.mapInArrow(run, "u long, v long, links long")
+    return mapped(members, run, "u long, v long, links long")
 
 
 def similarity_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -270,8 +281,9 @@ def similarity_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     are linked copies; keys may be repeated or null (the least non-null key names a component; the row kept is the first by key,
     non-null first). Other columns pass through; those named like the ones added are replaced. An empty table gives an empty one.
     """
-    docs = docs.drop("_links", "_component", "_kept")
-    table = describe(docs, text)
+    sealed = Sealed(docs, "_links", "_component", "_kept")
+    key, text = sealed[key], sealed[text]
+    table = describe(sealed.df, text)
     slim = table.select("_rid", F.col(key).alias("_key"), "_h1", "_h2", "_n")
     classes = stage(slim.where("_n > 0").groupBy("_h1", "_h2").agg(F.min("_rid").alias("node"), F.count("*").alias("copies")), "classes")
 
@@ -304,9 +316,9 @@ def similarity_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     named = broadcast_if_small(stage(least, "components"))
     linked = rows.join(named, "_root").select("_rid", F.col("_links").alias("_l"), F.col("_first")["key"].alias("_component"), (F.col("_first")["rid"] == F.col("_rid")).alias("_k"), F.lit(True).alias("_in"))
     out = table.drop("_h1", "_h2", "_n", "_sig").join(broadcast_if_small(stage(linked, "links-of-rows")), "_rid", "left")
-    return out.select(
-        *docs.columns,
-        F.coalesce("_l", F.lit(0)).cast("long").alias("_links"),
-        F.when(F.col("_in"), F.col("_component")).otherwise(F.col(key)).alias("_component"),
-        F.coalesce("_k", F.lit(True)).alias("_kept"),
+    return sealed.open(
+        out,
+        _links=F.coalesce("_l", F.lit(0)).cast("long"),
+        _component=F.when(F.col("_in"), F.col("_component")).otherwise(F.col(key)),
+        _kept=F.coalesce("_k", F.lit(True)),
     )

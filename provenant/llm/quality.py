@@ -7,7 +7,10 @@ with class prior p, positives P, unlabelled U and the logistic loss l,
 
 Trusted positives are learning rows of label 1; unlabelled web text is every learning row, whatever its label, so that
 the prior holds for it.
-The prior is estimated from the learning rows that carry a label: the share of label 1 among them.
+The prior is estimated from positives and unlabelled text alone, labelled negatives aren't looked at: a model is fitted on half of the
+rows, and of the other half the shares of unlabelled and of positive rows that score above a threshold are compared. Where the best
+scores are those of positives only, their ratio is the prior; the threshold is the one with the least upper confidence bound
+(best bin estimation, Garg et al. 2021).
 
 Features are of form, not of vocabulary: shares of pairs of byte classes (letters, upper case, digits, each kind of
 punctuation, white space ...), of word lengths, of repeated words, and the text's length. Scores use nothing else.
@@ -24,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import single, steps, utf8
-from .words import Words
+from .common import Sealed, mapped, single, steps, utf8
+from .words import PART, Words
 
 #: Most rows of each of the two sets that the model is fitted on: those with the least hash of the key.
 FIT_ROWS = 10_000
@@ -42,31 +45,52 @@ WIDTH = CLASSES + 8 * 8 + LENGTHS + 5
 
 
 def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of style features for each text; an empty text has zeros but for the last, a constant."""
+    """A row of style features for each text; an empty text has zeros but for the last, a constant.
+
+    Bytes and words are counted ``PART`` at a time, with the byte or word before, so a text of any length is counted as a whole.
+    """
     n = len(offsets) - 1
     size = np.diff(offsets)
-    doc = np.repeat(np.arange(n), size)
-    kind = CLASS[raw]
-    out = np.zeros((n, WIDTH))
-    whole = np.maximum(size, 1)[:, None]
-    out[:, :CLASSES] = np.bincount(doc * CLASSES + kind, minlength=n * CLASSES).reshape(n, CLASSES) / whole
-    coarse = np.minimum(kind, 7)
-    pair = coarse[:-1] * 8 + coarse[1:]
-    same = doc[:-1] == doc[1:]
-    out[:, CLASSES : CLASSES + 64] = np.bincount(doc[:-1][same] * 64 + pair[same], minlength=n * 64).reshape(n, 64) / whole
+    chars, pairs = np.zeros(n * CLASSES, np.int64), np.zeros(n * 64, np.int64)
+    for a in range(0, len(raw), PART):
+        low, high = max(a - 1, 0), min(a + PART, len(raw))
+        kind = CLASS[raw[low:high]]
+        doc = np.repeat(np.arange(n), np.diff(np.clip(offsets, low, high)))
+        chars += np.bincount((doc * CLASSES + kind)[a - low :], minlength=n * CLASSES)
+        coarse = np.minimum(kind, 7)
+        same = doc[:-1] == doc[1:]
+        pairs += np.bincount((doc[:-1] * 64 + coarse[:-1] * 8 + coarse[1:])[same], minlength=n * 64)
     words = Words(raw, offsets)
+    lengths, again, distinct = np.zeros(n * LENGTHS, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    seen = np.zeros(0, np.uint64)  # words so far of the text that a part ends in
+    seen_of = -1
+    for low, high, first in words.parts(1):
+        doc, hashes = np.repeat(np.arange(n), np.diff(first)), words.hash[low:high]
+        fresh = slice(int(low > 0), None)  # the first is of the part before
+        lengths += np.bincount((doc * LENGTHS + np.minimum(words.end[low:high] - words.start[low:high], LENGTHS) - 1)[fresh], minlength=n * LENGTHS)
+        again += np.bincount(doc[1:][(hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])], minlength=n)
+        doc, hashes = doc[fresh], hashes[fresh]
+        order = np.lexsort((hashes, doc))
+        hashes, doc = hashes[order], doc[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+        hashes, doc = hashes[new], doc[new]
+        if len(doc) and doc[0] == seen_of:
+            known = np.isin(hashes, seen) & (doc == seen_of)
+        else:
+            known, seen = np.zeros(len(doc), bool), seen[:0]
+        distinct += np.bincount(doc[~known], minlength=n)
+        if len(doc):
+            mine = hashes[~known & (doc == doc[-1])]
+            seen, seen_of = (np.concatenate([seen, mine]) if doc[-1] == seen_of else mine), doc[-1]
     count = np.diff(words.first)
-    some = np.maximum(count, 1)
-    length = np.minimum(words.end - words.start, LENGTHS) - 1
-    out[:, CLASSES + 64 : CLASSES + 64 + LENGTHS] = np.bincount(words.doc * LENGTHS + length, minlength=n * LENGTHS).reshape(n, LENGTHS) / some[:, None]
+    some, whole = np.maximum(count, 1), np.maximum(size, 1)[:, None]
+    out = np.zeros((n, WIDTH))
     at = CLASSES + 64 + LENGTHS
-    again = (words.hash[1:] == words.hash[:-1]) & (words.doc[1:] == words.doc[:-1])
-    out[:, at] = np.bincount(words.doc[1:][again], minlength=n) / some
-    order = np.lexsort((words.hash, words.doc)) if len(words) else np.zeros(0, np.int64)
-    h, d = words.hash[order], words.doc[order]
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    out[:, at + 1] = np.bincount(d[fresh], minlength=n) / np.sqrt(some) / 30
+    out[:, :CLASSES], out[:, CLASSES : CLASSES + 64] = chars.reshape(n, CLASSES) / whole, pairs.reshape(n, 64) / whole
+    out[:, CLASSES + 64 : at] = lengths.reshape(n, LENGTHS) / some[:, None]
+    out[:, at] = again / some
+    out[:, at + 1] = distinct / np.sqrt(some) / 30
     out[:, at + 2] = np.log1p(size) / 12
     out[:, at + 3] = count == 0
     out[:, at + 4] = 1
@@ -90,15 +114,31 @@ def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, rounds:
     return w
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, half_p: np.ndarray, half_u: np.ndarray, *, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """Share of positives among unlabelled rows. A model learns from the rows of the given halves; the others are compared."""
+    w = nnpu(positive[half_p], unlabelled[half_u], 0.5)
+    p, u = np.sort(positive[~half_p] @ w), np.sort(unlabelled[~half_u] @ w)
+    if not len(p) or not len(u):
+        return 0.5
+    cut = np.unique(p)
+    above_p, above_u = 1 - np.searchsorted(p, cut) / len(p), 1 - np.searchsorted(u, cut) / len(u)
+    slack = (1 + gamma) * sum(np.sqrt(np.log(4 / delta) / (2 * len(x))) for x in (p, u))
+    best = int(np.argmin((above_u + slack) / above_p))
+    return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
+
+
 class Model:
     """Scales features and scores them."""
 
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float):
+    def __init__(self, x: np.ndarray, is_positive: np.ndarray, is_unlabelled: np.ndarray):
+        positive, unlabelled = x[is_positive], x[is_unlabelled]
         both = np.concatenate([positive, unlabelled])
         self.mean, self.scale = both.mean(0), both.std(0)
         self.mean[-1], self.scale[self.scale < 1e-9], self.scale[-1] = 0, 1, 1
-        self.prior = prior
-        self.w = nnpu(self.scaled(positive), self.scaled(unlabelled), prior)
+        half = np.arange(len(x)) % 2 == 0
+        positive, unlabelled = self.scaled(positive), self.scaled(unlabelled)
+        self.prior = estimate_prior(positive, unlabelled, half[is_positive], half[is_unlabelled])
+        self.w = nnpu(positive, unlabelled, self.prior)
 
     def scaled(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -8, 8)
@@ -116,7 +156,7 @@ def _mapped(docs: DataFrame, text: str, new: T.StructField, kind: pa.DataType, f
             parts = [f(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in steps(offsets)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for p in parts for x in p], kind)], names=[*batch.schema.names, new.name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, new]))
+    return mapped(docs, run, T.StructType([*docs.schema.fields, new]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS) -> Model | None:
@@ -127,10 +167,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, key: str = "doc_id
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_id")).agg((F.max(label) == 1).cast("int").alias("_y"))
     keys = docs.where(learn).select(F.col(key).alias("_id"), F.xxhash64(F.lit(3), F.col(key)).alias("_hash"))
     keys = keys.join(known, "_id", "left")
-    facts = keys.agg(F.count("_y").alias("labelled"), F.coalesce(F.sum("_y"), F.lit(0)).alias("positive"), F.count("*").alias("all")).first()
+    facts = keys.agg(F.coalesce(F.sum("_y"), F.lit(0)).alias("positive"), F.count("*").alias("all")).first()
     if not facts["positive"]:
         return None
-    prior = min(max(facts["positive"] / facts["labelled"], 0.01), 0.99)
 
     # Bounded samples: the rows whose hash is under a limit that lets some fit_rows through.
     def some(n: int) -> Column:
@@ -148,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, key: str = "doc_id
     if not p.any() or not u.any():
         return None
     order = np.lexsort(x.T)  # the same model whatever the order in which rows arrive
-    return Model(x[order][p[order]], x[order][u[order]], prior)
+    return Model(x[order], p[order], u[order])
 
 
 def score(docs: DataFrame, model: Model | None, *, text: str = "text", score: str = "_score") -> DataFrame:
@@ -156,8 +195,9 @@ def score(docs: DataFrame, model: Model | None, *, text: str = "text", score: st
 
     A null text is scored as an empty one. Without a model every score is 0.5. A column named ``score`` is replaced.
     """
-    docs = docs.drop(score)
+    sealed = Sealed(docs, score)
     if model is None:
-        return docs.withColumn(score, F.lit(0.5))
+        return sealed.open(sealed.df, **{score: F.lit(0.5)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return _mapped(docs, text, T.StructField(score, T.DoubleType()), pa.float64(), lambda raw, offsets: shared.value.score(features(raw, offsets)))
+    scored = _mapped(sealed.df, sealed[text], T.StructField("_score", T.DoubleType()), pa.float64(), lambda raw, offsets: shared.value.score(features(raw, offsets)))
+    return sealed.open(scored, **{score: F.col("_score")})

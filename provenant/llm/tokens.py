@@ -1,24 +1,26 @@
 """Token-ID output as length-delimited binary records, with an offset index beside each shard.
 
-A shard ``part-PPPPPP-SSSSSS.rec`` is a run of records, each framed as
+A shard ``part-PPPPPP-SSSSSS-A.rec`` is a run of records, each framed as
 
     uint64 length | uint32 masked crc32 of those 8 bytes | payload | uint32 masked crc32 of the payload
 
 with all integers little-endian and ``masked(c) = ((c >> 15 | c << 17) + 0xA282EAD8) mod 2**32``, so that a
 checksum stored beside other checksummed bytes stays a good check. A payload is
 
-    uint8 bytes per id (2 or 4) | uint8 1 if the key is null | int64 key | the ids
+    uint8 bytes per id (2 or 4) | uint8 kind of key | key | the ids
+
+where the key is of kind 0, an int64; 1, null, of no bytes; or 2, a uint32 length and so many bytes of UTF-8.
 
 The index ``part-....idx`` has for each record: int64 offset, int64 ids before it in the shard, int64 ids in it.
 Shuffled readers seek by it; sequential readers check both checksums. Shards are numbered in ascending order
-of key, hold about ``shard_bytes``, and are written under another name and renamed when complete, so a task
-that runs again after a lost executor leaves the same files.
+of key and hold about ``shard_bytes``. Their names end in the number of the task's attempt (A), and the manifest lists those
+of the attempt that Spark took, so attempts at once, or one whose executor was lost, never touch each other's files.
 """
 
 from __future__ import annotations
 
+import json
 import struct
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -29,12 +31,23 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import fresh_path, single, stage, steps, utf8
+from .common import fresh_path, mapped, single, stage, steps, utf8
+from .words import WORD_P, Words
 
 SHARD_BYTES = 32 << 20
-#: Pieces whose ids a worker keeps from task to task (some 250 bytes each; when there are more, it starts anew), and pieces encoded at once.
-CACHE_PIECES, NEW_PIECES = 1_000_000, 2_000
+#: Pieces that a worker keeps from task to task (some 33 bytes each), the most ids and bytes of one that is kept, and pieces encoded at once.
+SLOTS, PIECE_IDS, PIECE_BYTES, NEW_PIECES = 1 << 20, 8, 64, 2_000
+#: Bytes of a long text whose pieces are looked up together.
+PORTION = 1 << 20
+#: Kinds of bytes where pieces are cut: at blanks and line ends, and between a letter or digit and a mark.
+KINDS = np.full(256, 3, np.uint8)
+KINDS[[10, 32]] = 0
+KINDS[48:58] = KINDS[65:91] = KINDS[97:123] = 1
+KINDS[[ord(c) for c in ".,;:!?"]] = 2
+AS_IT_IS = np.arange(256, dtype=np.uint8)
 HEAD, INDEX = struct.Struct("<QI"), struct.Struct("<qqq")
 MANIFEST = "shard string, records long, n_tokens long"
 
@@ -72,72 +85,169 @@ def read_record(fs: pafs.FileSystem, path: str, nth: int) -> bytes:
         return next(records(shard))
 
 
-def packed(key: int | None, ids: np.ndarray) -> bytes:
+Key = int | str | None
+
+
+def head(key: Key, width: int) -> bytes:
+    """What stands before the ids of a payload."""
+    if isinstance(key, str):
+        data = key.encode()
+        return struct.pack("<BBI", width, 2, len(data)) + data
+    return struct.pack("<BB", width, 1) if key is None else struct.pack("<BBq", width, 0, key)
+
+
+def packed(key: Key, ids: np.ndarray) -> bytes:
     """The payload of a document."""
-    return struct.pack("<BBq", ids.dtype.itemsize, key is None, key or 0) + ids.tobytes()
+    return head(key, ids.dtype.itemsize) + ids.tobytes()
 
 
-def unpacked(payload: bytes) -> tuple[int | None, np.ndarray]:
+def unpacked(payload: bytes) -> tuple[Key, np.ndarray]:
     """Key and ids of a payload."""
-    width, null, key = struct.unpack_from("<BBq", payload)
-    return None if null else key, np.frombuffer(payload, f"<u{width}", offset=10)
+    width, kind = struct.unpack_from("<BB", payload)
+    key, at = None, 2
+    if kind == 0:
+        (key,), at = struct.unpack_from("<q", payload, 2), 10
+    elif kind == 2:
+        at = 6 + struct.unpack_from("<I", payload, 2)[0]
+        key = payload[6:at].decode()
+    return key, np.frombuffer(payload, f"<u{width}", offset=at)
+
+
+def separates(settings: dict) -> bool:
+    """Whether a tokenizer with these settings gives a text the ids of its pieces (``KINDS``) one after the other.
+
+    Its normaliser may only change characters by themselves or runs of white space, and its first pre-tokenizer must drop white space.
+    A pattern that keeps what it matches is tried on characters of all kinds beside white space.
+    """
+    import regex
+
+    parts = lambda x, name: [] if x is None else x[name] if x["type"] == "Sequence" else [x]
+    for n in parts(settings.get("normalizer"), "normalizers"):
+        if n["type"] not in ("NFC", "NFD", "Lowercase", "StripAccents") and not (n["type"] == "Replace" and n["pattern"].get("Regex") == r"\s+" and n["content"] == " "):
+            return False
+    first = next(iter(parts(settings.get("pre_tokenizer"), "pretokenizers")), {"type": None})
+    if first["type"] == "Split":
+        if first["behavior"] != "Removed" or not first["invert"] or "Regex" not in first["pattern"]:
+            return False
+        pattern, kinds = regex.compile(first["pattern"]["Regex"]), ("", "a", "É", "1", "'", "'s", ".", "-", "_", "́", "語")
+        if any(regex.search(r"\s", m[0]) for x in kinds for y in kinds for m in pattern.finditer(f"{x} {y}")):
+            return False
+        if any(regex.search("[a-zA-Z0-9][.,;:!?]", m[0]) for x in "aZ1" for y in ".,;:!?" for z in kinds for m in pattern.finditer(f"{x}{y}{z}")):
+            return False
+    elif first["type"] not in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer"):
+        return False
+    return settings.get("post_processor") is None and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in settings["added_tokens"])
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer that never merges across white space.
+    """Ids of whole texts.
 
-    Such a tokenizer gives a text the ids of its blank-separated pieces one after the other, so each
-    distinct piece is encoded once and kept. ``by_piece`` says that the tokenizer is of this kind.
+    With a tokenizer that ``separates`` at blanks, each distinct piece is encoded once and kept: in a table of fixed size, in the slot that its
+    hash names, until another takes that. Pieces are told apart by two 64-bit hashes, and only short ones are kept. With any other tokenizer each text is encoded as a whole.
     """
 
-    def __init__(self, path: str, by_piece: bool):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_piece, self.kept = Tokenizer.from_file(path), by_piece, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.by_piece = separates(json.loads(self.tokenizer.to_str()))
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        if self.by_piece:
+            self.one, self.two, self.many, self.ids = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint8), np.zeros((SLOTS, PIECE_IDS), self.dtype)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes."""
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, and where those of each begin; texts are given as bytes and offsets."""
         if not self.by_piece:
-            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.kept) > CACHE_PIECES:
-            self.kept.clear()
-        new = list(set().union(*pieces).difference(self.kept))
-        for i in range(0, len(new), NEW_PIECES):
-            self.learn(new[i : i + NEW_PIECES])
-        get = self.kept.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encode pieces joined by blanks, and keep the ids of each: those of the tokens that start in it."""
-        found = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
-        data = np.array(found.ids, self.dtype).tobytes()
-        starts = np.cumsum([0, *(len(p) + 1 for p in pieces)])
-        cut = (np.searchsorted(np.array([a for a, _ in found.offsets], np.int64), starts) * self.dtype.itemsize).tolist()
-        for piece, a, b in zip(pieces, cut[:-1], cut[1:], strict=True):
-            self.kept[piece] = data[a:b]
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str, by_piece: bool) -> Encoder:
+            texts = [raw[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            ids = [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate([*ids, np.zeros(0, self.dtype)]), np.cumsum([0, *map(len, ids)])
+        if len(offsets) == 2 and len(raw) > PORTION:  # pieces of a long text don't meet across blanks
+            ids = np.concatenate([self.by_pieces(x, np.array([0, len(x)]))[0] for x in portions(raw)])
+            return ids, np.array([0, len(ids)])
+        return self.by_pieces(raw, offsets)
+
+    def by_pieces(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same, piece by piece."""
+        pieces = Words(raw, offsets, kinds=KINDS, fold=AS_IT_IS, second=WORD_P)
+        parts, counts = [np.zeros(0, self.dtype)], np.zeros(len(offsets), np.int64)
+        for low, high, first in pieces.parts():
+            ids, at = self.look_up(pieces, low, high)
+            parts.append(ids)
+            counts[1:] += np.diff(at[first])
+        return np.concatenate(parts), np.cumsum(counts)
+
+    def look_up(self, pieces: Words, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some pieces, and where those of each begin."""
+        one, two = pieces.hash[low:high], pieces.other[low:high]
+        slot = (one & np.uint64(SLOTS - 1)).astype(np.int64)
+        known = (self.one[slot] == one) & (self.two[slot] == two) & (self.many[slot] > 0)
+        many = self.many[slot].astype(np.int64)
+        lacking = np.flatnonzero(~known)
+        _, some, back = np.unique(one[lacking], return_index=True, return_inverse=True)
+        some = lacking[some]
+        new, cut = self.learn([pieces.raw[a:b].tobytes().decode() for a, b in zip(pieces.start[low + some].tolist(), pieces.end[low + some].tolist(), strict=True)])
+        size = np.diff(cut)
+        many[lacking] = size[back]
+        at = np.concatenate([[0], np.cumsum(many)])
+        out = np.empty(int(at[-1]), self.dtype)
+        mine = np.flatnonzero(known)
+        for k in range(PIECE_IDS):
+            mine = mine[many[mine] > k]
+            out[at[mine] + k] = self.ids[slot[mine], k]
+        n = many[lacking]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(at[:-1][lacking], n) + within] = new[np.repeat(cut[:-1][back], n) + within]
+        # of new pieces for one slot the last takes it
+        short = (size > 0) & (size <= PIECE_IDS) & (pieces.end[low + some] - pieces.start[low + some] <= PIECE_BYTES)
+        _, last = np.unique(slot[some][short][::-1], return_index=True)
+        chosen = np.flatnonzero(short)[::-1][last]
+        to = slot[some[chosen]]
+        self.one[to], self.two[to], self.many[to] = one[some[chosen]], two[some[chosen]], size[chosen]
+        for k in range(PIECE_IDS):
+            has = size[chosen] > k
+            self.ids[to[has], k] = new[cut[:-1][chosen[has]] + k]
+        return out, at
+
+    def learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some pieces, and where those of each begin."""
+        ids = [e.ids for i in range(0, len(pieces), NEW_PIECES) for e in self.tokenizer.encode_batch_fast(pieces[i : i + NEW_PIECES], add_special_tokens=False)]
+        cut = np.cumsum([0, *map(len, ids)])
+        return np.fromiter((x for p in ids for x in p), self.dtype, int(cut[-1])), cut
+
+
+def portions(raw: np.ndarray) -> Iterator[np.ndarray]:
+    """A text's bytes, cut after blanks into portions of PORTION bytes or less, or what a longer piece takes."""
+    a = 0
+    while len(raw) - a > PORTION:
+        blanks = np.flatnonzero(KINDS[raw[a : a + PORTION]] == 0)
+        size = int(blanks[-1]) + 1 if len(blanks) else PORTION
+        while not len(blanks) and a + size < len(raw):  # a piece that is longer than that
+            blanks = np.flatnonzero(KINDS[raw[a + size : a + size + PORTION]] == 0)
+            size += int(blanks[0]) + 1 if len(blanks) else PORTION
+        yield raw[a : min(a + size, len(raw))]
+        a = min(a + size, len(raw))
+    if a < len(raw):
+        yield raw[a:]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
     """A worker's encoder, kept from task to task."""
-    return Encoder(path, by_piece)
+    return Encoder(path)
 
 
 class ShardWriter:
     """Writes records to shards of about ``most`` bytes, each with its index."""
 
-    def __init__(self, uri: str, task: int, most: int):
+    def __init__(self, uri: str, task: int, attempt: int, most: int):
         self.fs, self.root = pafs.FileSystem.from_uri(uri)
         self.fs.create_dir(self.root, recursive=True)
-        self.task, self.most, self.nth, self.done, self.stream = task, most, 0, [], None
+        self.task, self.attempt, self.most, self.nth, self.done, self.stream = task, attempt, most, 0, [], None
 
     def add(self, payload: bytes, n: int) -> None:
         if self.stream is None:
-            self.name = f"part-{self.task:06d}-{self.nth:06d}"
-            self.temporary = f"{self.root}/_{self.name}.{uuid.uuid4().hex}"
-            self.stream, self.at, self.n, self.index = self.fs.open_output_stream(self.temporary), 0, 0, []
+            self.name = f"part-{self.task:06d}-{self.nth:06d}-{self.attempt}"
+            self.stream, self.at, self.n, self.index = self.fs.open_output_stream(f"{self.root}/{self.name}.rec"), 0, 0, []
         record = framed(payload)
         self.stream.write(record)
         self.index.append(INDEX.pack(self.at, self.n, n))
@@ -149,44 +259,50 @@ class ShardWriter:
         if self.stream is None:
             return
         self.stream.close()
-        with self.fs.open_output_stream(f"{self.temporary}.i") as out:
+        with self.fs.open_output_stream(f"{self.root}/{self.name}.idx") as out:
             out.write(b"".join(self.index))
-        for temporary, name in ((f"{self.temporary}.i", f"{self.name}.idx"), (self.temporary, f"{self.name}.rec")):
-            if self.fs.get_file_info(f"{self.root}/{name}").type != pafs.FileType.NotFound:
-                self.fs.delete_file(f"{self.root}/{name}")  # of an attempt whose executor was lost
-            self.fs.move(temporary, f"{self.root}/{name}")
         self.done.append((self.name, len(self.index), self.n))
         self.stream, self.nth = None, self.nth + 1
 
 
-def write_tokens(docs: DataFrame, uri: str, tokenizer: str, *, end_id: int | None, key: str = "doc_id", text: str = "text", by_piece: bool = True, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write_tokens(docs: DataFrame, uri: str, tokenizer: str, *, end_id: int | None, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write the ids of all documents, in ascending order of key, under ``uri``; returns the staged manifest, a row for each shard.
 
-    A null text is an empty one: only the end id. Null keys come first; rows of one key are ordered by text, so
-    reruns agree. Repeated rows are each written. No rows: no shard. Other columns are not read.
+    Keys are whole numbers or strings; others are written as strings, in their own order. A null text is an empty one: only the end
+    id. Null keys come first; rows of one key are ordered by text, so reruns agree. Repeated rows are each written. No rows: no
+    shard. Other columns are not read.
     """
-    slim = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    ordered = slim.repartitionByRange(F.asc_nulls_first("k")).sortWithinPartitions(F.asc_nulls_first("k"), "t")
+    order = F.asc_nulls_first("k")
+    slim = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    ordered = slim.repartitionByRange(order).sortWithinPartitions(order, "t").select(F.col("k").cast(key_type(docs, key)).alias("k"), "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer, by_piece)
-        writer = ShardWriter(uri, TaskContext.get().partitionId(), shard_bytes)
+        coder = encoder(tokenizer)
+        context = TaskContext.get()
+        writer = ShardWriter(uri, context.partitionId(), context.taskAttemptId(), shard_bytes)
         tail = np.array([] if end_id is None else [end_id], coder.dtype).tobytes()
         width = coder.dtype.itemsize
         for batch in batches:
-            keys, texts = single(batch, "k").to_pylist(), single(batch, "t")
-            for i, j in steps(utf8(texts)[1]):
-                for k, ids in zip(keys[i:j], coder.encode(texts[i:j].to_pylist()), strict=True):
-                    writer.add(struct.pack("<BBq", width, k is None, k or 0) + ids + tail, (len(ids) + len(tail)) // width)
+            keys = single(batch, "k").to_pylist()
+            raw, offsets = utf8(single(batch, "t"))
+            for i, j in steps(offsets):
+                ids, at = coder.encode(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                for k, a, b in zip(keys[i:j], at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    writer.add(head(k, width) + ids[a:b].tobytes() + tail, b - a + len(tail) // width)
         writer.roll()
         names, counts, tokens = zip(*writer.done, strict=True) if writer.done else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(tokens, pa.int64())], names=["shard", "records", "n_tokens"])
 
-    return stage(ordered.mapInArrow(run, MANIFEST), "manifest")
+    return stage(mapped(ordered, run, MANIFEST), "manifest")
+
 
+def key_type(docs: DataFrame, key: str) -> str:
+    """What a key is in a record: long for whole numbers, else string."""
+    return "long" if isinstance(docs.select(key).schema[0].dataType, T.IntegralType) else "string"
 
-def read_tokens(manifest: DataFrame, uri: str, derive: Callable[[int | None, np.ndarray], tuple], schema: str) -> DataFrame:
-    """A row for each record of the shards: key, start (ids of all records before it), n_tokens, and what ``derive(key, ids)`` gives.
+
+def read_tokens(manifest: DataFrame, uri: str, derive: Callable[[Key, np.ndarray], tuple], schema: str, *, key: str = "long") -> DataFrame:
+    """A row for each record of the shards: key (of type ``key``, long or string), start (ids of all records before it), n_tokens, and what ``derive(key, ids)`` gives.
 
     Only the manifest, a row for each shard, is put in order in one task; the shards are read in parallel, each checked by its checksums.
     """
@@ -210,20 +326,16 @@ def read_tokens(manifest: DataFrame, uri: str, derive: Callable[[int | None, np.
                 if rows:
                     yield table(rows)
 
-    kinds = list(manifest.sparkSession.createDataFrame([], f"key long, start long, n_tokens long{', ' + schema if schema else ''}").schema.fields)
-    from pyspark.sql.pandas.types import to_arrow_type
-
+    kinds = T.StructType.fromDDL(f"key {key}, start long, n_tokens long{', ' + schema if schema else ''}")
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in kinds])
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    from pyspark.sql.types import StructType
-
-    return shards.repartition(tasks, "shard").mapInArrow(run, StructType(kinds))
+    return mapped(shards.repartition(tasks, "shard"), run, kinds)
 
 
-def ids_crc32(key: int | None, ids: np.ndarray) -> tuple[int]:
+def ids_crc32(key: Key, ids: np.ndarray) -> tuple[int]:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
     return (zlib.crc32(ids.astype("<u4").tobytes()),)
 
@@ -231,4 +343,6 @@ def ids_crc32(key: int | None, ids: np.ndarray) -> tuple[int]:
 def token_output(docs: DataFrame, tokenizer: str, *, uri: str | None = None, end_id: int | None = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write, read back, and give a row for each document: key, start, n_tokens, ids_crc32."""
     uri = uri or fresh_path(docs.sparkSession, "tokens")
-    return read_tokens(write_tokens(docs, uri, tokenizer, end_id=end_id, key=key, text=text), uri, ids_crc32, "ids_crc32 long")
+    manifest = write_tokens(docs, uri, tokenizer, end_id=end_id, key=key, text=text)
+    out = read_tokens(manifest, uri, ids_crc32, "ids_crc32 long", key=key_type(docs, key))
+    return out.withColumn("key", F.col("key").cast(docs.select(key).schema[0].dataType))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, single, stage
+from .common import Sealed, broadcast_if_small, mapped, single, stage
 from .components import components
 from .ngrams import edges_of
 
@@ -55,7 +55,7 @@ def _vectors(rows: DataFrame) -> DataFrame:
                 names=["_rid", "_label", "size", "h1", "h2", "data"],
             )
 
-    out = rows.mapInArrow(run, "_rid long, _label string, size long, h1 long, h2 long, data binary")
+    out = mapped(rows, run, "_rid long, _label string, size long, h1 long, h2 long, data binary")
     return stage(out.withColumn("g", F.when(F.col("data").isNotNull(), F.xxhash64("_label", "size"))).drop("_label"), "vectors")
 
 
@@ -114,7 +114,9 @@ def near_vectors(rows: DataFrame, *, key: str = "vec_id", vector: str = "embeddi
     ``threshold``. Vectors that are null, empty, zero or hold null or non-finite components are linked with nothing. Equal
     rows are linked copies. Keys may be repeated; null keys name no component. Other columns pass through; an empty table gives an empty one.
     """
-    rows = stage(rows.drop("_links", "_component").withColumn("_rid", F.monotonically_increasing_id()), "rows")
+    sealed = Sealed(rows, "_links", "_component")
+    key, vector, label = sealed[key], sealed[vector], sealed[label]
+    rows = stage(sealed.df.withColumn("_rid", F.monotonically_increasing_id()), "rows")
     eps = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
     vectors = _vectors(rows.select("_rid", F.col(label).cast("string").alias("_label"), F.col(vector).alias("_v")))
     valid = vectors.where("g is not null")
@@ -135,7 +137,7 @@ def near_vectors(rows: DataFrame, *, key: str = "vec_id", vector: str = "embeddi
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(grid[:, i]) for i in range(DIRECTIONS))], names=[*batch.schema.names, *cells])
 
     one = valid.select(F.col("_rid").alias("node"), "data").join(classes.select("node", "g", "copies"), "node").select("node", "g", "copies", "data")
-    grid = stage(one.mapInArrow(place, "node long, g long, copies long, data binary, " + ", ".join(f"{c} long" for c in cells)), "grid")
+    grid = stage(mapped(one, place, "node long, g long, copies long, data binary, " + ", ".join(f"{c} long" for c in cells)), "grid")
     ordered = grid.repartitionByRange("g", *cells, "node").sortWithinPartitions("g", *cells, "node").select("g", "node", "copies", "data")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +160,7 @@ def near_vectors(rows: DataFrame, *, key: str = "vec_id", vector: str = "embeddi
         if held[0]:
             yield out()
 
-    blocks = stage(ordered.mapInArrow(cut, INFO + ", nodes binary, copies binary, data binary"), "blocks")
+    blocks = stage(mapped(ordered, cut, INFO + ", nodes binary, copies binary, data binary"), "blocks")
     info = blocks.select("id", "g", "low", "high")
     cell = lambda x: F.floor(F.col(x)[0] / eps)
     left = info.select(F.col("id").alias("a"), "g", F.col("low").alias("al"), F.col("high").alias("ah"), F.explode(F.sequence(cell("low"), cell("high"))).alias("c"))
@@ -201,5 +203,4 @@ def near_vectors(rows: DataFrame, *, key: str = "vec_id", vector: str = "embeddi
     named = stage(linked.groupBy("_root").agg(F.min("_key").alias("_least")), "components")
     linked = linked.drop("_key").join(broadcast_if_small(named), "_root").drop("_root")
     out = rows.join(linked, "_rid", "left")
-    kept = [c for c in rows.columns if c != "_rid"]
-    return out.select(*kept, F.coalesce("_links", F.lit(0)).cast("long").alias("_links"), F.when(F.col("_links").isNotNull(), F.col("_least")).otherwise(F.col(key)).alias("_component"))
+    return sealed.open(out, _links=F.coalesce("_links", F.lit(0)).cast("long"), _component=F.when(F.col("_links").isNotNull(), F.col("_least")).otherwise(F.col(key)))
