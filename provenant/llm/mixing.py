@@ -5,8 +5,9 @@ source's target is more than it has. The line is cut into blocks of ``block_word
 quota is the blocks up to its target. A binary tree then deals the blocks of all sources to the output shards:
 each node splits its vector of block counts by an exact multivariate-hypergeometric draw (source after source,
 each by inversion of the hypergeometric distribution), so every shard is a uniform draw without replacement
-from the whole mix, and the sources' sums stay exact. A shard's blocks of a source are the next ones along the
-hash-ordered line, hence disjoint and already permuted; a shard shuffles only its own rows.
+from the whole mix, and the sources' sums stay exact. A source's blocks are permuted by a hash, and a shard draws
+the next ones of them, as many as the tree gave it; so draws are disjoint. What the mix takes are the words of drawn
+blocks: a document's copy goes with the block in which it starts. A shard shuffles only its own rows.
 
 The order along a line is a prefix sum that is computed in two levels (buckets of some thousand documents,
 then rows within a bucket), so a source with a third of all rows is not one task.
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stage
+from .common import Sealed, broadcast_if_small, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -107,53 +108,74 @@ def splitting_tree(counts: DataFrame, levels: int, seed: int) -> DataFrame:
     return nodes.select((F.col("node") - (1 << levels)).alias("shard"), F.explode("have").alias("s")).select("shard", "s.sid", "s.k").where("k > 0")
 
 
-def mix(docs: DataFrame, *, key: tuple[str, ...] = ("doc_id",), text: str = "text", source: str = "source", size: Column | None = None, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 7, keep_undrawn: bool = False, block_words: int | None = None) -> DataFrame:
+def draws(sources: DataFrame, block: int, levels: int, seed: int) -> DataFrame:
+    """The blocks that each shard draws: (sid, block, shard), staged. Sources' blocks are permuted, and shards take the next ones in turn."""
+    blocks = sources.where("quota > 0").select("sid", F.explode(F.expr(f"sequence(0L, (quota - 1L) div {block}L)")).alias("block"))
+    nth = F.row_number().over(Window.partitionBy("sid").orderBy(F.xxhash64(F.lit(seed + 2), "sid", "block"), "block"))
+    leaves = splitting_tree(sources.select("sid", F.expr(f"(quota + {block - 1}L) div {block}L").alias("k")).where("k > 0"), levels, seed)
+    upto = F.sum("k").over(Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
+    taken = leaves.withColumn("last", upto).select("sid", "shard", F.explode(F.expr("sequence(last - k + 1, last)")).alias("nth"))
+    return stage(blocks.withColumn("nth", nth.cast("long")).join(taken, ["sid", "nth"]).select("sid", "block", "shard"), "draws")
+
+
+def mix(docs: DataFrame, *, key: tuple[str, ...] = ("doc_id",), text: str = "text", source: str = "source", size: Column | None = None, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 7, keep_undrawn: bool = False, parts: bool = False, block_words: int | None = None) -> DataFrame:
     """A row for each copy of a document that the mix takes: its columns, and _size, _source_size, _target, _copy (0, 1, ..), _taken (words), _shard, _order.
 
     Sources in order of code point, null last, have ``weights`` in turn. Each source's words come to its target,
     rounded: one document of a source may be taken in part (_taken < _size), all others whole. A document comes at
     most ``most`` times. Texts that are null or without words have size 0 and are never drawn; with
-    ``keep_undrawn``, documents that are not drawn come once with null _copy and _taken 0. Equal rows are interchangeable,
-    so reruns agree. No rows, or none with words: none are drawn. Columns of the names given here are replaced.
+    ``keep_undrawn``, documents that are not drawn come once with null _copy and _taken 0. With ``parts`` there is a row for each block that
+    a copy has words in, with the words that it has there, instead of one in the block where it starts. Equal rows are interchangeable,
+    so reruns agree. No rows, or none with words: none are drawn. Columns of the names given here are replaced. ``size`` is an expression over ``docs``.
     """
-    size = word_count(F.col(text)) if size is None else size
     own = ["_size", "_source_size", "_target", "_copy", "_taken", "_shard", "_order"]
-    kept = [c for c in docs.columns if c not in own]
-    hashed = F.xxhash64(F.lit(seed), *(F.col(c) for c in key))
-    sized = docs.select(*(F.col(c) for c in kept), size.alias("_size"), F.col(source).cast("string").alias("_source"), hashed.alias("_h"))
-    sources = source_targets(sized.select("_source", "_size"), weights, most)
+    size = word_count(F.col(text)) if size is None else size
+    sealed = Sealed(docs.select(size.alias("-"), "*"), *own)
+    words_of = sealed.inner.pop(0)
+    sealed.names.pop(0)
+    keys = [F.col(sealed[c]) for c in key]
+    has_text = any(c.lower() == text.lower() for c in sealed.names)
+    hashed = F.xxhash64(F.lit(seed), *keys)
+    sized = sealed.df.select(*sealed.inner, F.col(words_of).alias("_size"), F.col(sealed[source]).cast("string").alias("_source"), hashed.alias("_h"))
+    slim = stage(sized.select("_source", "_size", "_h"), "sizes")
+    sources = source_targets(slim.select("_source", "_size"), weights, most)
     total = sources.agg(F.sum("quota")).first()[0] or 0
     block = block_words or max(BLOCK_WORDS, -(-total // MOST_BLOCKS))
     levels = max(0, math.ceil(math.log2(max(1, total / (block * SHARD_BLOCKS)))))
 
     # Where each document starts on its source's line.
-    facts = sources.select("_source", "sid", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "quota", (F.col("n_rows") / BUCKET_ROWS).cast("long").alias("_wide"))
-    rows = sized.join(broadcast_if_small(facts), sized["_source"].eqNullSafe(facts["_source"]), "left").drop("_source")
-    rows = rows.withColumn("_bucket", F.pmod(F.shiftright("_h", 20), F.col("_wide") + 1))
-    slim = sized.select("_source", "_size", "_h")
-    slim = slim.join(broadcast_if_small(facts), slim["_source"].eqNullSafe(facts["_source"]), "left").withColumn("_bucket", F.pmod(F.shiftright("_h", 20), F.col("_wide") + 1))
-    buckets = slim.groupBy("sid", "_bucket").agg(F.sum("_size").alias("n"))
+    facts = sources.select(F.col("_source").alias("_named"), "sid", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "quota", (F.col("n_rows") / BUCKET_ROWS).cast("long").alias("_wide"))
+    placed = lambda x: x.join(broadcast_if_small(facts), x["_source"].eqNullSafe(facts["_named"]), "left").drop("_source", "_named").withColumn("_bucket", F.pmod(F.shiftright("_h", 20), F.col("_wide") + 1))
+    buckets = placed(slim).groupBy("sid", "_bucket").agg(F.sum("_size").alias("n"))
     before = Window.partitionBy("sid").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stage(buckets.select(F.col("sid").alias("_sid"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_off")), "offsets")
-    within = Window.partitionBy("sid", "_bucket").orderBy("_h", *(F.col(c) for c in key), F.xxhash64(*([F.col(text)] if text in kept else [F.lit(0)])))
+    rows = placed(sized)
+    within = Window.partitionBy("sid", "_bucket").orderBy("_h", *keys, F.xxhash64(*([F.col(sealed[text])] if has_text else [F.lit(0)])))
     rows = rows.withColumn("_in", F.coalesce(F.sum("_size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = rows.join(broadcast_if_small(offsets), (rows["sid"] == offsets["_sid"]) & (rows["_bucket"] == offsets["_b"]), "left").withColumn("_at", F.col("_off") + F.col("_in"))
 
-    # The blocks that each copy starts in.
-    copies = F.expr(
-        f"filter(transform(sequence(0, {most - 1}), e -> struct(e as copy, least(_size, quota - (e * _source_size + _at)) as taken, (e * _source_size + _at) div {block}L as block)), c -> c.taken > 0)"
+    # The blocks that each copy has words in, or the one that it starts in.
+    starts = f"filter(transform(sequence(0, {most - 1}), e -> struct(e as copy, e * _source_size + _at as low, least((e * _source_size + _at) + _size, quota) as high)), c -> c.high > c.low)"
+    words = f"struct(c.copy as copy, b as block, least(c.high, (b + 1) * {block}L) - greatest(c.low, b * {block}L) as words)"
+    split = f"flatten(transform({starts}, c -> transform(sequence(c.low div {block}L, (c.high - 1) div {block}L), b -> {words})))"
+    whole = f"transform({starts}, c -> struct(c.copy as copy, c.low div {block}L as block, c.high - c.low as words))"
+    rows = rows.withColumn("_c", (F.explode_outer if keep_undrawn else F.explode)(F.expr(split if parts else whole)))
+
+    # What the shards draw of them.
+    dealt = draws(sources, block, levels, seed).select(F.col("sid").alias("_sid"), F.col("block").alias("_block"), F.col("shard").alias("_shard"))
+    rows = rows.drop("_sid", "_b").join(broadcast_if_small(dealt), (F.col("sid") == F.col("_sid")) & (F.col("_c.block") == F.col("_block")), "left")
+    rows = rows.where(F.col("_shard").isNotNull() | F.lit(keep_undrawn))
+    drawn = F.col("_shard").isNotNull()
+    return sealed.open(
+        rows,
+        _size=F.col("_size"),
+        _source_size=F.col("_source_size"),
+        _target=F.col("_target"),
+        _copy=F.when(drawn, F.col("_c.copy")),
+        _taken=F.when(drawn, F.col("_c.words")).otherwise(F.lit(0)).cast("long"),
+        _shard=F.col("_shard"),
+        _order=F.when(drawn, F.xxhash64(F.lit(seed + 1), "_h", "_c.copy")),
     )
-    rows = rows.withColumn("_c", (F.explode_outer if keep_undrawn else F.explode)(copies))
-    rows = rows.select(*kept, "_size", "_source_size", "_target", "sid", "_h", F.col("_c.copy").alias("_copy"), F.coalesce("_c.taken", F.lit(0)).alias("_taken"), F.col("_c.block").alias("_block"))
-
-    # The blocks that each shard draws.
-    leaves = splitting_tree(sources.select("sid", F.expr(f"(quota + {block - 1}L) div {block}L").alias("k")).where("k > 0"), levels, seed)
-    drawn = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    leaves = leaves.withColumn("first", F.coalesce(F.sum("k").over(drawn), F.lit(0)))
-    dealt = stage(leaves.select(F.col("sid").alias("_sid"), F.col("shard").alias("_shard"), F.explode(F.expr("sequence(first, first + k - 1)")).alias("_b")), "dealt")
-    rows = rows.join(broadcast_if_small(dealt), (rows["sid"] == dealt["_sid"]) & (rows["_block"] == dealt["_b"]), "left")
-    order = F.when(F.col("_copy").isNotNull(), F.xxhash64(F.lit(seed + 1), "_h", "_copy"))
-    return rows.select(*kept, "_size", "_source_size", "_target", "_copy", "_taken", "_shard", order.alias("_order"))
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:

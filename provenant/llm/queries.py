@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import decontaminate as wm
@@ -22,10 +22,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of each document that the mix takes."""
+    """Words of each document that the mix takes: those of the blocks that shards draw; its copies, their shards, and the place of the first in its shard."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("t"), F.monotonically_increasing_id().alias("row"))
-    mixed = mixing.mix(docs, key=("doc_id", "t"), size=F.col("size"), keep_undrawn=True)
-    return mixed.groupBy("row", "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target")).agg(F.sum("_taken").alias("taken"), F.count("_copy").alias("copies")).drop("row")
+    mixed = mixing.mix(docs, key=("doc_id", "t"), size=F.col("size"), keep_undrawn=True, parts=True)
+    place = F.row_number().over(Window.partitionBy("_shard", F.when(F.col("_shard").isNull(), F.col("row") % 1024)).orderBy("_order", "row"))
+    first = F.min(F.when(F.col("_copy").isNotNull(), F.struct("_copy", "_shard", "_place")))
+    by_row = mixed.withColumn("_place", place).groupBy("row", "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"))
+    out = by_row.agg(F.sum("_taken").alias("taken"), F.count_distinct("_copy").alias("copies"), F.array_join(F.array_sort(F.collect_set("_shard")).cast("array<string>"), ",").alias("shards"), first.alias("_first"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "shards", F.col("_first._place").alias("place"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
