@@ -86,15 +86,23 @@ def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is removed of each document, and the digest of what remains."""
-    cut = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cut.select(
+    """What is removed of each document, and the digest of what remains.
+
+    Beyond that, whether a document holds a passage of over 50 words that another document holds too, be it shorter than the
+    strings that are removed; ``removed`` lists the removed byte ranges.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    holders = repeats.passage_holders(docs).withColumn("_holds", F.lit(True))
+    cut = repeats.remove_repeats(docs).select(
         "doc_id",
         F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
         F.aggregate("_removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
         F.size("_removed").cast("long").alias("n_spans"),
         F.sha2("_kept", 256).alias("kept_sha256"),
+        F.array_join(F.transform("_removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("removed"),
+        *(c.alias(name) for name, c in repeats.document(F.col("doc_id"), F.col("text")).items()),
     )
+    return cut.join(holders, repeats.KEY, "left").select(*cut.columns[:-2], F.coalesce("_holds", F.lit(False)).alias("shares_passage"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
