@@ -13,7 +13,7 @@ import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
-from provenant.llm import components, decontaminate, langid, licenses, mixing, ngrams, quality, queries, repeats, secrets, tokens, vectors
+from provenant.llm import components, decontaminate, langid, licenses, mixing, ngrams, quality, queries, repeats, secrets, tokens, vectors, words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -74,6 +74,22 @@ def test_mixing(spark):
     assert sorted(map(key, got)) == sorted(map(key, again))
     assert mixing.shuffled(mixed.where("_copy is not null")).count() == sum(r["_copy"] is not None for r in got)
     assert mixing.mix(docs.where("false")).count() == 0 and mixing.mix(docs.where("doc_id > 399")).count() == 0
+    # by block: each shard has as many words of a source as the blocks that the tree dealt it
+    pieces = mixing.mix(docs, parts=True, block_words=16).collect()
+    assert sum(r["_taken"] for r in pieces) == sum(r["_taken"] for r in got) and all(0 < r["_taken"] <= 16 for r in pieces)
+    shards = {(r["doc_id"], r["text"], r["_copy"]): r["_shard"] for r in got if r["doc_id"] != 7}
+    assert len(set(shards.values())) > 1 and {k: s for k, s in shards.items() if s is not None}.items() <= {(r["doc_id"], r["text"], r["_copy"]): r["_shard"] for r in reversed(sorted(pieces, key=lambda r: r["_order"])) if r["_shard"] == shards.get((r["doc_id"], r["text"], r["_copy"]))}.items()
+
+
+def test_draws_are_disjoint_and_follow_the_tree(spark):
+    sources = spark.createDataFrame([(0, 1000), (1, 333), (2, 0), (3, 7)], "sid int, quota long")
+    drawn = mixing.draws(sources, 10, 3, 5).collect()
+    blocks = {0: 100, 1: 34, 3: 1}
+    assert sorted((r["sid"], r["block"]) for r in drawn) == sorted((s, b) for s, n in blocks.items() for b in range(n))
+    tree = mixing.splitting_tree(spark.createDataFrame([(s, n) for s, n in blocks.items()], "sid int, k long"), 3, 5).collect()
+    assert Counter((r["sid"], r["shard"]) for r in drawn) == {(r["sid"], r["shard"]): r["k"] for r in tree}
+    first = [r["block"] for r in drawn if r["sid"] == 0 and r["shard"] == 0]
+    assert sorted(first) != list(range(min(first), max(first) + 1))  # permuted
 
 
 def test_splitting_tree_is_hypergeometric(spark):
@@ -154,6 +170,29 @@ def test_tokens(spark, tmp_path):
     with pytest.raises(ValueError), fs.open_input_stream(f"{tmp_path}/bad.rec") as s:
         list(tokens.records(s))
     assert tokens.token_output(docs.where("false"), path).count() == 0
+    named = tokens.token_output(docs.select(F.concat(F.lit("é#"), "doc_id").alias("doc_id"), "text"), path).collect()
+    assert sorted(r["key"] or "" for r in named) == sorted("é#" + str(k) if k is not None else "" for k, _ in rows)
+    dated = tokens.token_output(docs.select(F.date_add(F.lit("2020-01-01").cast("date"), F.col("doc_id").cast("int")).alias("doc_id"), "text"), path)
+    assert dict(dated.dtypes)["key"] == "date" and dated.where("key is null").count() == 1
+    assert tokens.unpacked(tokens.packed(None, np.arange(3, dtype="<u2")))[0] is None and tokens.unpacked(tokens.packed("ß", np.arange(3, dtype="<u4")))[1].tolist() == [0, 1, 2]
+
+
+def test_pieces_have_the_ids_of_the_whole(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(words, "PART", 256)
+    words._powers.cache_clear()
+    monkeypatch.setattr(tokens, "PORTION", 30)
+    coder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert coder.by_piece and not tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json")).by_piece
+    rng = random.Random(13)
+    marks = ["it's", " ", "\n", ".", ",", "...", "'s", "A", "bc", "É", "é", "\u0301", "1", "23", "語", "  ", "\t", "<|endoftext|>", "!", "?", "ΑΣ", "İ", "J\u030c", "a.", "b,", "x!?", "-", "_"]
+    for _ in range(400):
+        texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 40))) for _ in range(rng.choice([1, 3]))]
+        data = [t.encode() for t in texts]
+        ids, at = coder.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    words._powers.cache_clear()
 
 
 # ---- 4
@@ -183,12 +222,6 @@ def test_secrets(spark):
     assert [[s["kind"] for s in r["_spans"]] for r in pem] == [["pem"], ["github"]]
 
 
-def test_every_match_holds_a_trigram_alternative():
-    for r in secrets.RULES:
-        assert not r.alternatives or r.clauses()
-    assert secrets.Rule("x", "ab", alternatives=("ab",)).clauses() == []  # too short for trigrams: scans fully
-
-
 def drawn(tree, rng, folded=False):
     """A random match of a parsed regular expression."""
     out = ""
@@ -202,6 +235,8 @@ def drawn(tree, rng, folded=False):
         elif name == "MAX_REPEAT":
             low, high, inner = arg
             out += "".join(drawn(inner, rng, folded) for _ in range(rng.randint(low, min(int(high), low + 3))))
+        elif name == "ANY":
+            out += rng.choice("ab. ")
         elif name == "SUBPATTERN":
             out += drawn(arg[3], rng, folded or bool(arg[1] & re.IGNORECASE))
         elif name == "BRANCH":
@@ -211,13 +246,18 @@ def drawn(tree, rng, folded=False):
     return out
 
 
-def test_every_match_of_a_rule_holds_one_of_its_alternatives():
+def test_every_match_of_a_rule_meets_its_query():
     rng = random.Random(11)
-    lacking = lambda r: sum(not any(a in m.lower() for a in r.alternatives) for m in (drawn(re._parser.parse(r.regex), rng) for _ in range(2000)))
-    for r in secrets.RULES:
-        assert all(re.search(r.regex, drawn(re._parser.parse(r.regex), rng)) for _ in range(50))
-        assert not r.alternatives or not lacking(r)
-    assert lacking(secrets.Rule("x", "ab(cd|ef)", alternatives=("abcd",)))  # one that doesn't cover its regex shows
+    more = [secrets.Rule(str(i), r) for i, r in enumerate((r"(abc|abd)?xyz", r"(?:key|id)-[0-9]{2,}(end|fin)+", r"a.bcd[efg]{1,2}h", r"(foo|ba[rz]q)s?=", r"x{3}y?z{4,9}", r"[ab]", r"(abc|d)"))]
+    for r in (*secrets.RULES, *more):
+        query = secrets.mandatory(re._parser.parse(r.regex))
+        assert all(len(x) >= 3 for strings in query for x in strings)
+        for _ in range(2000):
+            m = drawn(re._parser.parse(r.regex), rng)
+            assert re.search(r.regex, m) and all(any(x in m.lower() for x in strings) for strings in query)
+    queries_of = {r.kind: r.query() for r in secrets.RULES}
+    assert {k for k, q in queries_of.items() if not q} == {"hex"} and len(queries_of["pem"]) == 2 and len(queries_of["assign"][0]) == 6
+    assert secrets.Rule("x", "ab").query() == [] == secrets.Rule("x", "(abc|d)").query()  # no mandatory trigram: scans fully
 
 
 # ---- 5
@@ -335,6 +375,29 @@ def test_repeats(spark, monkeypatch):
         repeats.remove_repeats(docs, size=100)
 
 
+@pytest.mark.parametrize("part", [1 << 18, 40])
+def test_passages(spark, monkeypatch, part):
+    monkeypatch.setattr(repeats, "PARSE_BYTES", part)
+    rng = random.Random(18)
+    shared = [prose(rng, n) for n in (50, 51, 52, 70, 200)]
+    texts = [" ".join([prose(rng, rng.randint(0, 90)), shared[i % 5] if i < 25 else "", prose(rng, rng.randint(0, 60))]) for i in range(60)]
+    texts += [shared[1].upper().replace(" ", ", "), prose(rng, 120), "two " * 300, *ODD[:5], "Aa " * 3000]
+    twice = prose(rng, 60)
+    texts += [twice + " . " + twice, texts[30], texts[30]]
+    rows = [*enumerate(texts), (None, texts[40]), (41, texts[41])]  # the last is the same document again
+    windows = {}
+    for k, t in rows:
+        w = WORD.findall(lower(t))
+        for i in range(len(w) - 50):
+            windows.setdefault(tuple(w[i : i + 51]), set()).add((k, t))
+    want = {d for found in windows.values() if len(found) > 1 for d in found}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = repeats.passage_holders(docs).collect()
+    hashes = {(r["_d"], r["_e"]): (r["doc_id"], r["text"]) for r in docs.withColumns(repeats.document(F.col("doc_id"), F.col("text"))).collect()}
+    assert {hashes[r["_d"], r["_e"]] for r in got} == want and len(got) == len(want) and 20 < len(want) < 50
+    assert repeats.passage_holders(docs.where("false")).count() == 0
+
+
 # ---- 8
 
 
@@ -469,3 +532,111 @@ def test_ties_at_the_threshold_of_every_size():
         for shared, linked in ((4 * k, True), (4 * k - 1, False)):
             both = np.array([[5 * k, shared], [shared, shared]], np.float32)
             assert ngrams.reached(both, np.array([5 * k, shared]), 0.8)[0, 1] == linked
+
+
+# ---- all
+
+
+def test_words_in_parts_are_the_same(monkeypatch):
+    rng = random.Random(14)
+    texts = [prose(rng, n) for n in (0, 1, 4, 5, 90)] + ["", "...", "a" * 700, "Aa " * 200, "é b1 C", ""]
+    data = [t.encode() for t in texts]
+    raw, offsets = np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+
+    def all_of():
+        words._powers.cache_clear()
+        w = words.Words(raw, offsets)
+        x = [w.start, w.end, w.hash, w.first, w.whole(), ngrams.signatures(w), quality.features(raw, offsets)]
+        return [*map(np.asarray, x), *ngrams.shingle_sets(w)], [w.text(i, 1) for i in range(len(w))], sorted(tuple(map(tuple, zip(*t, strict=True))) for t in repeats.all_triggers(np.tile(raw, 3), np.array([0, 3 * len(raw)]), repeats.of_bytes(), 200))
+
+    whole, spelled, _ = all_of()
+    assert spelled == [w.encode() for t in texts for w in WORD.findall(lower(t))]
+    for module in (words, quality, ngrams):
+        monkeypatch.setattr(module, "PART", 256)
+    assert all(np.array_equal(a, b) for a, b in zip(all_of()[0], whole, strict=True))
+    monkeypatch.undo()
+    words._powers.cache_clear()
+
+
+def test_triggers_of_parts_are_those_of_the_whole():
+    rng = np.random.default_rng(15)
+    raw = np.concatenate([rng.integers(97, 100, 5000, np.uint8), np.full(3000, 97, np.uint8), rng.integers(97, 123, 4000, np.uint8)])
+    offsets = np.array([0, 100, len(raw)])
+    flat = lambda found: sorted(map(tuple, np.concatenate([np.stack(t) for t in found], axis=1).T.tolist()))
+    whole = flat([repeats.triggers(raw, offsets, repeats.of_bytes())])
+    assert whole and all(flat(repeats.all_triggers(raw, offsets, repeats.of_bytes(), most)) == whole for most in (300, 1000, 5000))
+
+
+LONG = 24 << 20
+
+
+@pytest.mark.parametrize("name", ["quality", "ngrams", "decontaminate", "repeats", "tokens", "language", "licenses"])
+def test_a_very_long_text_takes_bounded_memory(name):
+    """In a process of its own: what a step over one text of 24 MB takes beyond the text and what it gives."""
+    import subprocess
+    import sys
+
+    code = f"""
+import resource, sys
+import numpy as np
+import public_tokenizers
+from provenant.llm import decontaminate, langid, licenses, ngrams, quality, repeats, tokens
+from provenant.llm.words import Words
+rng = np.random.default_rng(0)
+some = np.array([b"alpha", b"beta,", b"Gamma.", b"delta9", "été".encode()] + [b"w%d" % i for i in range(3000)])
+text = b" ".join(b" ".join(rng.choice(some, 1 << 17).tolist()) for _ in range({LONG} // (6 << 17)))
+raw, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+groups = decontaminate.build_groups(["w1 w2 w3", " ".join("w%d" % i for i in range(40))])
+coder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+learned = langid.Classifier({{"a": (text[:90_000], 3), "b": (b"xyz " * 9000, 2)}})
+as_text = text.decode()
+scanner = licenses.Scanner()
+run = {{
+    "quality": lambda: quality.features(raw, offsets),
+    "ngrams": lambda: (lambda w: (w.whole(), ngrams.signatures(w)))(Words(raw, offsets)),
+    "decontaminate": lambda: decontaminate.search(raw, offsets, groups, {{}}),
+    "repeats": lambda: sum(len(t[0]) for t in repeats.all_triggers(raw, offsets, repeats.of_bytes())) + sum(len(t[0]) for t in repeats.all_triggers(raw, offsets, repeats.of_words())),
+    "tokens": lambda: coder.encode(raw, offsets),
+    "language": lambda: learned.predict(as_text),
+    "licenses": lambda: scanner.scan(as_text + " Released under the MIT License. " + as_text[:1000]),
+}}["{name}"]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+run()
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=False)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert float(out.stdout.split()[-1]) < 5 * LONG / (1 << 20), out.stdout
+
+
+CLASHING = ("in0", "sid", "_h", "_block", "_bucket", "_at", "_k", "_in_hex", "_t", "_ranges", "_id", "_th", "_n", "_sig", "_l", "_in", "_rid", "_RID", "_least", "_c", "_text", "_b", "_other", "_found", "node", "words", "-", "a.b", "_order", "_Taken", "_links", "_score")
+
+
+def operators():
+    from public_tokenizers import path
+
+    labels = lambda d: d.select("doc_id", F.lit(1).alias("quality"))
+    item = lambda d: d.sparkSession.createDataFrame([(1, "w1 w2 w3")], "item_id long, text string")
+    return {
+        "mix": lambda d: mixing.mix(d, keep_undrawn=True), "quality": lambda d: quality.score(d, quality.fit(d, labels(d), F.lit(True))), "tokens": lambda d: tokens.token_output(d, path("word_bpe_49k.json")), "secrets": secrets.scan,
+        "language": lambda d: langid.predict(d, langid.learn_dictionaries(d, F.lit(True))), "vectors": vectors.near_vectors, "repeats": repeats.remove_repeats, "holders": repeats.passage_holders,
+        "decontaminate": lambda d: decontaminate.decontaminate(d, item(d)), "blocks": lambda d: decontaminate.decontaminate(d, item(d), max_block_bytes=3), "licenses": licenses.scan, "join": ngrams.similarity_join,
+    }
+
+
+@pytest.mark.parametrize("name", list(operators()))
+def test_columns_that_clash_pass_through(spark, name):
+    rng = random.Random(16)
+    rows = [(i, prose(rng, 30), "en", rng.choice("ab"), i, [1.0, float(i % 3)], i % 2) for i in range(12)] + [(None, None, None, None, None, None, None), (3, "", "fr", "a", 1, [0.0, 0.0], 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, vec_id long, embedding array<double>, label int")
+    replaced = {"mix": ["_order", "_Taken"], "quality": ["_score"], "language": ["_score"], "vectors": ["_links"], "join": ["_links"], "decontaminate": ["_found"], "blocks": ["_found"]}.get(name, [])
+    clashing = docs.select("*", *(F.lit(f"mine {c}").alias(c) for c in CLASHING))
+    got = operators()[name](clashing)
+    if name in ("tokens", "holders"):
+        got.collect()
+        return
+    for r in got.collect():
+        for i, c in enumerate(CLASHING):
+            if c not in replaced:
+                assert r[len(docs.columns) + i - sum(x in replaced for x in CLASHING[:i])] == f"mine {c}"
+    assert got.columns[: len(docs.columns)] == docs.columns
