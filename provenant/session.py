@@ -3,19 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints that the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder for checkpoints that the cluster names in ``spark.checkpoint.dir``; with a local master (tests) one of our own where that is unset."""
     context = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not where and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="provenant-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver's JVM ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path.getParent())
+    fs.deleteOnExit(path)
+    return path.toString()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df``, computed once and written to the shared folder, so lineage is cut and lost executors don't matter."""
     checkpoint_dir(df.sparkSession)

@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from provenant.plans import oracles, registry
+from provenant.plans import catalog
 
 from .conftest import TESTDATA
 
@@ -33,12 +33,12 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, duck, name):
-    df = registry.queries()[name](spark, str(SF))
+    df = catalog.queries()[name](spark, str(SF))
     order = sorted(df.columns)
     got = sorted(tuple(plain(r[c]) for c in order) for r in df.collect())
-    found = duck.execute(oracles.oracle_sql()[name])
+    found = duck.execute(catalog.oracle_sql()[name])
     columns = [c[0] for c in found.description]
     assert sorted(columns) == order
     at = [columns.index(c) for c in order]
