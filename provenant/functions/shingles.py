@@ -20,31 +20,50 @@ from .text import SHINGLE
 SPACES = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 MARKS = "，。、；：（）()“”\"'【】《》"
 FACTOR = 0x9E3779B97F4A7C15
+#: Characters that are hashed at once, but for a longer text.
+STEP = 1 << 19
 
 
-def hashes(text: str | None, n: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the runs of n characters; none if there are fewer."""
-    points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-    points = points[~np.isin(points, DROPPED)].astype(np.uint64)
-    count = len(points) - n + 1
-    if count < 1:
-        return np.zeros(0, np.int64)
+DROPPED = np.array([*SPACES, *map(ord, MARKS)], np.uint32)
+
+
+def hashes(texts: list[str | None], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the runs of n characters of all texts in turn, and where those of each begin; none of a text with fewer."""
+    raw = [(t or "").encode("utf-32-le", "surrogatepass") for t in texts]
+    points = np.frombuffer(b"".join(raw), np.uint32)
+    doc = np.repeat(np.arange(len(raw)), [len(t) // 4 for t in raw])
+    kept = ~np.isin(points, DROPPED)
+    points, doc = points[kept].astype(np.uint64), doc[kept]
+    count = max(len(points) - n + 1, 0)
     out = np.zeros(count, np.uint64)
     for k in range(n):
         out += points[k : k + count] * np.uint64(pow(FACTOR, k + 1, 1 << 64))
     out ^= out >> np.uint64(31)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(29)
-    return np.unique(out).view(np.int64)
-
-
-DROPPED = np.array([*SPACES, *map(ord, MARKS)], np.uint32)
+    inside = doc[:count] == doc[n - 1 :] if count else np.zeros(0, bool)
+    out, doc = out[inside].view(np.int64), doc[:count][inside]
+    order = np.lexsort((out, doc))
+    out, doc = out[order], doc[order]
+    new = np.ones(len(out), bool)
+    new[1:] = (out[1:] != out[:-1]) | (doc[1:] != doc[:-1])
+    return out[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=len(raw)))])
 
 
 @F.pandas_udf(ArrayType(LongType()))
 def _hashes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in texts:
-        yield part.map(hashes)
+        rows = []
+        held: list[str | None] = []
+        size = 0
+        for t in [*part, None]:  # some texts at a time
+            if held and (len(rows) + len(held) == len(part) or size + len(t or "") > STEP):
+                found, at = hashes(held)
+                rows += [found[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+                held, size = [], 0
+            held.append(t)
+            size += len(t or "")
+        yield pd.Series(rows, index=part.index, dtype=object)
 
 
 def shingle_hashes(text: Column) -> Column:

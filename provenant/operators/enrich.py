@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenant.functions.text import short_title
+from provenant.session import checkpointed
 
 # Forms of articles, definitions and case sections, and limits.
 NUMERAL = "零〇一二三四五六七八九十百千"
@@ -17,6 +18,8 @@ USED_AT_MOST, LEAST_TERM, DEFINITIONS = 0.2, 2, 2
 CASE_SECTION = r"^(?:【([^】]{2,12})】|[一二三四五六七八九十]+、\s*(基本案情|诉讼过程|典型意义|裁判结果|检察机关履职过程|处理结果))\s*(.*)$"
 NO_SECTION, KEYWORD_SECTION, KEYWORD_SPLIT = "正文", "关键词", r"(?U)[\s　、，,；;]+"
 EXPANDED = ("（相关概念：", "；", "）")
+#: Terms of a document that a chunk's text is searched for at once.
+TERMS_AT_ONCE = 1_000
 
 
 def expand(queries: DataFrame, glossary: DataFrame, *, text: str = "text", expanded: str = "expanded") -> DataFrame:
@@ -45,11 +48,18 @@ def pinned_chunks(queries: DataFrame, chunks: DataFrame, *, text: str = "text")
 
 
 def definition_terms(chunks: DataFrame, *, patterns: tuple[str, ...] = (CALLED, LEADING), doc: str = "doc_id", chunk: str = "chunk_id", text: str = "text", most: float = USED_AT_MOST) -> DataFrame:
-    """(doc, chunk, term, usage): terms that a chunk defines and that at most a fifth of the document's chunks use."""
+    """(doc, chunk, term, usage): terms that a chunk defines and that at most a fifth of the document's chunks use.
+
+    A chunk looks for all terms of its document at once, ``TERMS_AT_ONCE`` at a time, and only those it holds become rows, which are counted.
+    """
     found = F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(p)) for p in patterns))))
     terms = chunks.select(doc, chunk, F.explode(F.array_distinct(F.transform(found, lambda t: F.regexp_replace(t, CALLED_PREFIX, "")))).alias("term")).where(F.length("term") >= LEAST_TERM)
-    used = terms.select(doc, "term").distinct().join(chunks.select(doc, F.col(text).alias("_text")), doc)
-    usage = used.groupBy(doc, "term").agg(F.avg(F.contains("_text", F.col("term")).cast("int")).alias("usage")).where(F.col("usage") <= most)
+    terms = checkpointed(terms)
+    known = terms.select(doc, "term").distinct()
+    known = known.withColumn("_block", F.floor((F.row_number().over(Window.partitionBy(doc).orderBy("term")) - 1) / TERMS_AT_ONCE)).groupBy(doc, "_block").agg(F.collect_list("term").alias("_terms"))
+    held = chunks.select(doc, F.col(text).alias("_text")).join(known, doc).select(doc, F.explode(F.filter("_terms", lambda t: F.contains("_text", t))).alias("term"))
+    total = chunks.groupBy(doc).agg(F.count("*").alias("_all"))
+    usage = held.groupBy(doc, "term").agg(F.count("*").alias("_n")).join(total, doc).select(doc, "term", (F.col("_n") / F.col("_all")).alias("usage")).where(F.col("usage") <= most)
     return terms.join(usage, [doc, "term"]).select(doc, chunk, "term", "usage")
 
 
