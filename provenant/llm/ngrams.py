@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Sealed, broadcast_if_small, mapped, single, stage, steps, utf8
+from .common import Sealed, broadcast_if_small, discard, mapped, single, stage, steps, utf8
 from .components import components, local_components
 from .words import PART, WORD_INV, WORD_P, Words, mix, ranges
 
@@ -242,7 +242,20 @@ def reached(both: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
     return both / (size[:, None] + size[None, :] - both) >= threshold
 
 
-def verified(members: DataFrame, text: str, threshold: float) -> DataFrame:
+def with_sets(members: DataFrame, text: str) -> DataFrame:
+    """``members`` with their shingle sets (_set: ascending hashes, as bytes) in place of the text; staged, so that blocks carry sets that are made once."""
+    kept = [f for f in members.schema.fields if f.name != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = utf8(single(batch, text))
+            sets = [x.tobytes() for i, j in steps(offsets) for x in shingle_sets(Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))]
+            yield pa.RecordBatch.from_arrays([*(single(batch, f.name) for f in kept), pa.array(sets, pa.binary())], names=[*(f.name for f in kept), "_set"])
+
+    return stage(mapped(members, run, T.StructType([*kept, T.StructField("_set", T.BinaryType())])), "sets")
+
+
+def verified(members: DataFrame, threshold: float) -> DataFrame:
     """Step 5: rows (u, v, links): a forest of the exact links (links 0), and for each class the documents that a task links it with (v null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,14 +263,12 @@ def verified(members: DataFrame, text: str, threshold: float) -> DataFrame:
             table = table.combine_chunks()
             node, copies, block = (table[c].to_numpy() for c in ("node", "copies", "_b"))
             own = table["_i"].to_numpy() == table["_j"].to_numpy()
-            raw, offsets = utf8(table[text].combine_chunks())
-            sets: list[np.ndarray] = []
-            for i, j in steps(offsets):
-                sets += shingle_sets(Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+            raw, offsets = utf8(table["_set"].combine_chunks())
+            size = np.diff(offsets) // 8
             u, v, links = [], [], []
             for a, b in zip(start, [*start[1:], len(node)], strict=True):
-                size = np.array([len(s) for s in sets[a:b]])
-                linked = reached(overlap_rows(sets[a:b]), size, threshold)
+                sets = [np.frombuffer(raw[offsets[k] : offsets[k + 1]].tobytes(), np.uint64) for k in range(a, b)]
+                linked = reached(overlap_rows(sets), size[a:b], threshold)
                 np.fill_diagonal(linked, False)
                 if not own[a]:
                     linked &= block[a:b, None] != block[None, a:b]
@@ -301,8 +312,9 @@ def similarity_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     counted = groups.join(broadcast_if_small(stage(groups.groupBy("root").agg(F.count("*").alias("_count")), "groups")), "root")
     whole = table.select(F.col("_rid").alias("node"), F.col(text).alias("_text"))
     part = counted.join(classes.select("node", "copies"), "node")
-    part = whole.join(broadcast_if_small(stage(part, "group-members")), "node")
-    exact = stage(verified(blocked(part, "root", "node", block), "_text", threshold), "links")
+    sets = with_sets(whole.join(broadcast_if_small(stage(part, "group-members")), "node"), "_text")
+    exact = stage(verified(blocked(sets, "root", "node", block), threshold), "links")
+    discard(sets, postings, active)
     roots = components(exact.where("v >= 0").select("u", "v"))
     links = exact.where("v < 0").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
 
