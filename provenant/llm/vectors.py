@@ -3,7 +3,7 @@
 Vectors of one label, scaled to length 1, have a cosine of at least t if their distance is at most eps = sqrt(2 - 2t). They are
 projected on a few orthonormal principal directions, which never lengthens a distance; the grid has cells of width eps there.
 In the order of (label, cells) the sequence is cut into blocks, each with the box of its projections. Blocks are paired
-if they may have cells next to each other in the first direction and their boxes are within eps; a task joins two blocks,
+if they have cells next to each other in the first three directions and their boxes are within eps; a task joins two blocks,
 halving both sequences again and again and skipping intervals whose boxes are apart, and compares what is left exactly, in
 double precision. Directions are fitted on a bounded sample; they decide only what is skipped, never what links.
 
@@ -29,6 +29,8 @@ from .ngrams import edges_of
 THRESHOLD = 0.98
 DIRECTIONS, SAMPLE_ROWS, SAMPLE_BYTES = 6, 4096, 16 << 20
 BLOCK, LEAF = 1024, 128
+#: Directions in whose cells blocks must be next to each other to be paired.
+MEETING = 3
 INFO = "id long, g long, n long, low array<double>, high array<double>"
 
 
@@ -162,13 +164,21 @@ def near_vectors(rows: DataFrame, *, key: str = "vec_id", vector: str = "embeddi
 
     blocks = stage(mapped(ordered, cut, INFO + ", nodes binary, copies binary, data binary"), "blocks")
     info = blocks.select("id", "g", "low", "high")
-    cell = lambda x: F.floor(F.col(x)[0] / eps)
-    left = info.select(F.col("id").alias("a"), "g", F.col("low").alias("al"), F.col("high").alias("ah"), F.explode(F.sequence(cell("low"), cell("high"))).alias("c"))
-    right = info.select(F.col("id").alias("b"), "g", F.col("low").alias("bl"), F.col("high").alias("bh"), F.explode(F.sequence(cell("low") - 1, cell("high") + 1)).alias("c"))
+    met_in = [f"m{i}" for i in range(MEETING)]
+
+    def in_cells(x: DataFrame, margin: int) -> DataFrame:
+        """A row for each cell of the first directions that a block's box is in, or next to."""
+        cell = lambda c, i: F.floor(F.col(c)[i] / eps)
+        for i, name in enumerate(met_in):
+            x = x.withColumn(name, F.explode(F.sequence(cell("low", i) - margin, cell("high", i) + margin)))
+        return x
+
+    left = in_cells(info, 0).select(F.col("id").alias("a"), "g", F.col("low").alias("al"), F.col("high").alias("ah"), *met_in)
+    right = in_cells(info, 1).select(F.col("id").alias("b"), "g", F.col("low").alias("bl"), F.col("high").alias("bh"), *met_in)
     apart = F.aggregate(
         F.arrays_zip("al", "ah", "bl", "bh"), F.lit(0.0), lambda s, x: s + F.pow(F.greatest(x["al"] - x["bh"], x["bl"] - x["ah"], F.lit(0.0)), F.lit(2.0))
     )
-    met = left.join(right, ["g", "c"]).where((F.col("a") <= F.col("b")) & (apart <= eps * eps)).select("a", "b").distinct()
+    met = left.join(right, ["g", *met_in]).where((F.col("a") <= F.col("b")) & (apart <= eps * eps)).select("a", "b").distinct()
     sides = stage(met.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("id")), "pairs")
     work = blocks.select("id", "nodes", "copies", "data").join(broadcast_if_small(sides), "id")
 
