@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import struct
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -48,6 +49,9 @@ KINDS[[10, 32]] = 0
 KINDS[48:58] = KINDS[65:91] = KINDS[97:123] = 1
 KINDS[[ord(c) for c in ".,;:!?"]] = 2
 AS_IT_IS = np.arange(256, dtype=np.uint8)
+#: How byte-level vocabularies spell bytes: visible characters of Latin-1 stand for themselves, the others in turn for 256 and on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: 256 + n for n, b in enumerate(x for x in range(256) if x not in _VISIBLE)}
 HEAD, INDEX = struct.Struct("<QI"), struct.Struct("<qqq")
 MANIFEST = "shard string, records long, n_tokens long"
 
@@ -152,6 +156,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_piece = separates(json.loads(self.tokenizer.to_str()))
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.model = self.tokenizer.model if only_folds(json.loads(self.tokenizer.to_str())) else None
         if self.by_piece:
             self.one, self.two, self.many, self.ids = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint8), np.zeros((SLOTS, PIECE_IDS), self.dtype)
 
@@ -210,10 +215,32 @@ class Encoder:
 
     def learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some pieces, and where those of each begin."""
-        ids = [e.ids for i in range(0, len(pieces), NEW_PIECES) for e in self.tokenizer.encode_batch_fast(pieces[i : i + NEW_PIECES], add_special_tokens=False)]
+        ids = [self.of_letters(p) for p in pieces]
+        other = [i for i, x in enumerate(ids) if x is None]
+        for i in range(0, len(other), NEW_PIECES):
+            part = other[i : i + NEW_PIECES]
+            for k, e in zip(part, self.tokenizer.encode_batch_fast([pieces[k] for k in part], add_special_tokens=False), strict=True):
+                ids[k] = e.ids
         cut = np.cumsum([0, *map(len, ids)])
         return np.fromiter((x for p in ids for x in p), self.dtype, int(cut[-1])), cut
 
+    def of_letters(self, piece: str) -> list[int] | None:
+        """The ids of a piece of letters by the tokenizer's model alone; None if it isn't one, or the tokenizer may do more to it."""
+        if self.model is None or not piece.isalpha():
+            return None
+        if piece.isascii():
+            return [t.id for t in self.model.tokenize(piece.lower())]
+        folded = "".join(c.lower() for c in unicodedata.normalize("NFC", piece))  # letter by letter, as the tokenizer does
+        return [t.id for t in self.model.tokenize(folded.encode().decode("latin-1").translate(BYTE_LETTERS))] if folded.isalpha() else None
+
+
+def only_folds(settings: dict) -> bool:
+    """Whether a tokenizer composes and lower-cases a word of letters, spells its bytes, and does no more before its model sees it."""
+    names = [n["type"] for n in settings["normalizer"]["normalizers"]] if (settings.get("normalizer") or {}).get("type") == "Sequence" else []
+    split = settings["pre_tokenizer"]["pretokenizers"] if (settings.get("pre_tokenizer") or {}).get("type") == "Sequence" else []
+    letters = len(split) == 2 and split[0]["type"] == "Split" and "[\\p{L}]+" in split[0]["pattern"].get("Regex", "").split("|")
+    return names == ["NFC", "Replace", "Lowercase"] and letters and split[1]["type"] == "ByteLevel" and not split[1]["add_prefix_space"] and not split[1]["use_regex"]
+
 
 def portions(raw: np.ndarray) -> Iterator[np.ndarray]:
     """A text's bytes, cut after blanks into portions of PORTION bytes or less, or what a longer piece takes."""
