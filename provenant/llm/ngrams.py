@@ -35,7 +35,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, CHUNK, TOLERANCE = 24, 4, 16, 1e-9
 HASHES = BANDS * ROWS
 #: Classes of a block, and pairs that are compared at once.
-BLOCK, PAIRS = 512, 1 << 19
+BLOCK, PAIRS = 512, 1 << 17
 _RANDOM = np.random.default_rng(20240229)
 FACTOR = _RANDOM.integers(1, 1 << 63, HASHES, np.uint64) | np.uint64(1)
 SHIFT = _RANDOM.integers(0, 1 << 63, HASHES, np.uint64)
@@ -211,7 +211,7 @@ def candidate_edges(members: DataFrame, threshold: float) -> DataFrame:
     return mapped(members, run, "u long, v long")
 
 
-def overlap_rows(sets: list[np.ndarray], dtype=np.float32, cells: int = 1 << 24) -> np.ndarray:
+def overlap_rows(sets: list[np.ndarray], dtype=np.float32, cells: int = 1 << 22) -> np.ndarray:
     """Sizes of all intersections of some sets of hashes."""
     n = len(sets)
     values, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
