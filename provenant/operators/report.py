@@ -33,10 +33,19 @@ def markdown(rows: DataFrame, *, full: bool = True) -> str:
     return "\n".join([*out, "", *(f"- {r['id']}: {r['why']}" for r in failures(rows, full=full).orderBy("id").collect())])
 
 
+#: Shows the questions of a type, and those with tags only.
+FILTER = (
+    "<p><select id=t><option value=''>all</select> <label><input type=checkbox id=f> with issues</label>"
+    "<script>const d=[...document.querySelectorAll('details')],t=document.getElementById('t'),f=document.getElementById('f');"
+    "for(const x of new Set(d.map(e=>e.dataset.type)))t.add(new Option(x,x));"
+    "const s=()=>d.forEach(e=>e.hidden=t.value&&e.dataset.type!=t.value||f.checked&&!e.dataset.tags);t.onchange=f.onchange=s</script>"
+)
+
+
 def page(rows: DataFrame, title: str = "Evaluation") -> str:
-    """A page without outside references: metrics, then questions with their tags and answers, which open on a click."""
+    """A page without outside references: metrics, then questions with their tags and answers, which open on a click and can be filtered by type and issues."""
     e = html.escape
     table = "".join(f"<tr><th>{e(r['metric'])}<td>{e(r['value'])}" for r in metric_table(rows).orderBy("i").collect())
     tagged = rows.join(issue_tags(rows), "id").select("id", "type", "answer", "tags").orderBy("id")
-    items = "".join(f"<details data-type='{e(r['type'])}'><summary>{e(r['id'])} {e('; '.join(r['tags']))}</summary><pre>{e(r['answer'] or '')}</pre></details>" for r in tagged.toLocalIterator())
-    return f"<!doctype html><meta charset=utf-8><title>{e(title)}</title><h1>{e(title)}</h1><table>{table}</table>{items}"
+    items = "".join(f"<details data-type='{e(r['type'])}' data-tags='{e('; '.join(r['tags']))}'><summary>{e(r['id'])} {e('; '.join(r['tags']))}</summary><pre>{e(r['answer'] or '')}</pre></details>" for r in tagged.toLocalIterator())
+    return f"<!doctype html><meta charset=utf-8><title>{e(title)}</title><h1>{e(title)}</h1><table>{table}</table><div>{items}</div>{FILTER}"

@@ -1,12 +1,15 @@
 """Readers of document folders, chunks, questions and evaluation details, and the sinks that go with them.
 
-PDF, .docx and .doc need a parser that isn't part of the engine: readers for them are registered by suffix and run in
-``mapInPandas``. Markdown is read with DataFrame functions alone.
+Markdown is read with DataFrame functions alone, .docx by a reader of its XML. PDF and .doc need a parser that isn't part of the engine: readers are
+registered by suffix and run in ``mapInPandas``.
 """
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,6 +83,18 @@ def read_pages(files: DataFrame, readers: dict[str, Reader]) -> DataFrame:
     return known.select("path", "suffix", "content").mapInPandas(run, "path string, page int, line_no int, text string")
 
 
+def read_docx(content: bytes) -> list[list[str]]:
+    """Paragraphs of a .docx file, as one page."""
+    name = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml"))
+    signs = {f"{name}tab": "\t", f"{name}br": "\n"}
+    return [["".join(x.text or "" if x.tag == f"{name}t" else signs.get(x.tag, "") for x in p.iter()) for p in body.iter(f"{name}p")]]
+
+
+READERS: dict[str, Reader] = {".docx": read_docx}
+
+
 def scanned(lines: DataFrame, n_pages: DataFrame) -> DataFrame:
     """(path) of files with fewer than 50 characters a page: images, which need recognition. ``n_pages``: path, n_pages."""
     chars = lines.groupBy("path").agg(F.sum(F.length("text")).alias("chars"))
@@ -106,10 +121,19 @@ QUESTION_SCHEMA = "id string, type string, mode string, question string, gold ar
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Questions of JSON lines; without gold or key points they have empty lists."""
-    x = spark.read.schema(QUESTION_SCHEMA).json(path)
+    """Questions of JSON lines, or of a YAML list; without gold or key points they have empty lists, without ``expect`` they are to be answered unless out of scope."""
+    if path.endswith((".yaml", ".yml")):
+        import json
+
+        import yaml
+
+        text = spark.read.text(path, wholetext=True).first()[0]  # a file that people write
+        x = spark.createDataFrame([(json.dumps(q, ensure_ascii=False, default=str),) for q in yaml.safe_load(text) or []], "raw string").select(F.from_json("raw", QUESTION_SCHEMA).alias("q")).select("q.*")
+    else:
+        x = spark.read.schema(QUESTION_SCHEMA).json(path)
     empty = F.array().cast("array<string>")
-    return x.withColumns({"gold": F.coalesce("gold", empty), "must": F.coalesce("must", empty)})
+    expect = F.coalesce("expect", F.when(F.col("type") == "out_of_kb", "refuse").otherwise("answer"))
+    return x.withColumns({"gold": F.coalesce("gold", empty), "must": F.coalesce("must", empty), "expect": expect})
 
 
 def with_ids(questions: DataFrame, ids: str) -> DataFrame:
@@ -119,9 +143,10 @@ def with_ids(questions: DataFrame, ids: str) -> DataFrame:
 
 
 def write_details(rows: DataFrame, path: str) -> None:
-    """Evaluation rows as CSV with a header; lists as JSON."""
+    """Evaluation rows as CSV with a byte-order mark and a header; lists as JSON."""
     lists = [c for c, kind in rows.dtypes if kind.startswith("array")]
-    rows.withColumns({c: F.to_json(c) for c in lists}).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    marked = rows.withColumns({c: F.to_json(c) for c in lists}).withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0])
+    marked.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def read_details(spark: SparkSession, path: str) -> DataFrame:
