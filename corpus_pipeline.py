@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenant.llm import decontaminate, mixing, ngrams, quality, tokens
-from provenant.llm.common import stage
+from provenant.llm.common import discard, stage
 from provenant.llm.queries import held_out, table
 
 #: Score from which a document is kept.
@@ -68,6 +68,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
+    before: list[DataFrame] = []
     for name, f in STAGES:
         docs = stage(f(spark, docs, sf_dir), name.replace(" ", "-").replace("/", "-"))
+        discard(*before)  # each stage's rows go when the next has read them
+        before = [docs]
     return docs
