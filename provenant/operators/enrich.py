@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenant.functions.text import short_title
-from provenant.session import checkpointed
+from provenant.session import checkpointed, small
 
 # Forms of articles, definitions and case sections, and limits.
 NUMERAL = "零〇一二三四五六七八九十百千"
@@ -27,7 +27,7 @@ def expand(queries: DataFrame, glossary: DataFrame, *, text: str = "text", expan
 
     The glossary is a table of rules of fixed size: a join by regular expression meets every query with it.
     """
-    rules = F.broadcast(glossary.select("ord", "pattern", "terms"))
+    rules = small(glossary.select("ord", "pattern", "terms"))
     hits = queries.select(F.col("query_id"), F.col(text).alias("_q")).join(rules, F.expr("_q rlike concat('(?i)', pattern)"))
     terms = hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "terms"))), lambda x: x["terms"]), EXPANDED[1]).alias("_t"))
     out = queries.join(terms, "query_id", "left")
@@ -36,7 +36,7 @@ def expand(queries: DataFrame, glossary: DataFrame, *, text: str = "text", expan
 
 def required_chunks(queries: DataFrame, rules: DataFrame, chunks: DataFrame, *, text: str = "text") -> DataFrame:
     """Distinct (query_id, chunk_id) that rules ask for; patterns are case-sensitive, on the query as it was asked."""
-    hits = queries.select("query_id", F.col(text).alias("_q")).join(F.broadcast(rules), F.expr("_q rlike pattern")).select("query_id", "doc_title", "article").distinct()
+    hits = queries.select("query_id", F.col(text).alias("_q")).join(small(rules), F.expr("_q rlike pattern")).select("query_id", "doc_title", "article").distinct()
     return hits.join(chunks.select("chunk_id", "doc_title", "article"), ["doc_title", "article"]).select("query_id", "chunk_id").distinct()
 
 

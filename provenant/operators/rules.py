@@ -88,5 +88,5 @@ def aliases(spark: SparkSession) -> DataFrame:
 
 
 def with_alias(chunks: DataFrame) -> DataFrame:
-    """Chunks with the offence that their article names, or an empty alias."""
+    """Chunks with the offence that their article names, or an empty alias. The table that is broadcast is the one above."""
     return chunks.drop("alias").join(F.broadcast(aliases(chunks.sparkSession)), ["doc_title", "article"], "left").fillna("", ["alias"])

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -32,3 +33,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df``, computed once and written to the shared folder, so lineage is cut and lost executors don't matter."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table of rules with a broadcast hint, if it has no more rows than that."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
