@@ -125,8 +125,9 @@ def postings(docs: DataFrame, trigrams: list[str], text: str) -> DataFrame:
     """
     low = docs.select(F.expr("bitmap_bucket_number(_k + 1)").alias("bucket"), F.expr("bitmap_bit_position(_k + 1)").cast("int").alias("at"), F.lower(text).alias("low"))
     held = F.filter(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(i).cast("short")) for i, t in enumerate(trigrams))), lambda t: t.isNotNull())
-    rows = low.select("bucket", "at", held.alias("held")).repartition("bucket")  # no filter: it would be pushed below, and lower-case a text for each trigram
-    index = rows.select("bucket", "at", F.explode("held").alias("n")).groupBy("bucket", "n").agg(F.expr("bitmap_construct_agg(at)").alias("bits"))
+    rows = low.select("bucket", "at", held.alias("held")).repartition("bucket")
+    # explode would add a filter for lists that aren't empty, which is pushed below and lower-cases a text for each trigram
+    index = rows.select("bucket", "at", F.explode_outer("held").alias("n")).where("n is not null").groupBy("bucket", "n").agg(F.expr("bitmap_construct_agg(at)").alias("bits"))
     return index.select(F.element_at(F.array(*map(F.lit, trigrams)), F.col("n") + 1).alias("trigram"), "bucket", "bits")
 
 
