@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Sealed, discard, mapped, single, stage, steps, utf8
+from .common import Sealed, broadcast_if_small, discard, mapped, single, stage, steps, utf8
 from .ngrams import grouped
 from .words import BYTE_INV, BYTE_P, WORD_INV, WORD_P, Words, mix, rolled, window, windows
 
@@ -127,18 +127,49 @@ def all_triggers(raw: np.ndarray, offsets: np.ndarray, unit: Unit, most: int | N
             yield doc[own] + n, x[own] + low, y[own] + low, f[own], f2[own]
 
 
+def told_once(doc: np.ndarray, low: np.ndarray, high: np.ndarray, f: np.ndarray, f2: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """One trigger of each context of a text, how many there are (2 for more), and the runs of starts (text, low, high) of contexts that stand in a text several times.
+
+    A text that repeats a word over and over has a trigger at every repeat; all their strings repeat, and together they are few long runs.
+    """
+    order = np.lexsort((f2, f, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (f[order][1:] != f[order][:-1]) | (f2[order][1:] != f2[order][:-1])
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(order)))
+    again = np.zeros(len(order), bool)
+    again[order] = np.repeat(size > 1, size)
+    doc, low, high = doc[again], low[again], high[again]
+    begin = np.ones(len(doc), bool)
+    begin[1:] = (doc[1:] != doc[:-1]) | (low[1:] != high[:-1] + 1)
+    first = np.flatnonzero(begin)
+    last = np.append(first[1:], len(doc)) - 1 if len(doc) else first
+    return order[at], np.minimum(size, 2), (doc[first], low[first], high[last])
+
+
 def _parse(docs: DataFrame, unit: Unit) -> DataFrame:
-    """A row for each trigger: _d, _e, at (the run of its strings' starts), f, f2; staged."""
+    """A row for each context of a text: _d, _e, at (the run of its strings' starts), f, f2, n (2 if it stands there more than once); staged.
+
+    Rows with null f are runs of starts whose strings repeat within the text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(single(batch, "_t"))
             for i, j in steps(offsets, PARSE_BYTES):
                 for doc, low, high, f, f2 in all_triggers(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], unit):
-                    keys = [single(batch, k).slice(i, j - i).take(pa.array(doc)) for k in KEY]
-                    yield pa.RecordBatch.from_arrays([*keys, pa.array(low * RUN + high - low), pa.array(f), pa.array(f2)], names=[*KEY, "at", "f", "f2"])
+                    one, n, (whose, a, b) = told_once(doc, low, high, f, f2)
+                    cuts = (b - a) // (RUN - 1) + 1  # a run of one number is shorter than RUN
+                    whose, a, b = (np.repeat(x, cuts) for x in (whose, a, b))
+                    a = a + (np.arange(len(a)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * (RUN - 1)
+                    b = np.minimum(b, a + RUN - 2)
+                    none = np.concatenate([np.zeros(len(one), bool), np.ones(len(a), bool)])
+                    both = lambda x, z: np.concatenate([x, np.zeros(len(z), np.int64)])
+                    keys = [single(batch, k).slice(i, j - i).take(pa.array(np.concatenate([doc[one], whose]))) for k in KEY]
+                    at = np.concatenate([low[one] * RUN + high[one] - low[one], a * RUN + b - a])
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(at), pa.array(both(f[one], a), mask=none), pa.array(both(f2[one], a), mask=none), pa.array(both(n, a))], names=[*KEY, "at", "f", "f2", "n"])
 
-    return stage(mapped(docs, run, "_d long, _e long, at long, f long, f2 long"), "triggers")
+    return stage(mapped(docs, run, "_d long, _e long, at long, f long, f2 long, n long"), "triggers")
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
@@ -254,7 +285,7 @@ def passage_holders(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows = _keyed(docs, key, text).select(*KEY, "_t")
     parsed = _parse(rows, unit)
     several = F.min("_d") != F.max("_d")
-    groups = parsed.groupBy("f").agg((F.min("f2") != F.max("f2")).alias("mixed"), several.alias("several")).where("several").select("f", "mixed")
+    groups = parsed.where("f is not null").groupBy("f").agg((F.min("f2") != F.max("f2")).alias("mixed"), several.alias("several")).where("several").select("f", "mixed")
     groups = stage(groups, "groups")
     again = stage(parsed.join(groups, "f"), "again")
     discard(parsed, groups)
@@ -280,20 +311,21 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     keyed = _keyed(sealed.df, sealed[key], sealed[text])
     rows = keyed.select(*KEY, "_t")
     parsed = _parse(rows, unit)
-    groups = parsed.groupBy("f").agg(F.count("*").alias("n"), (F.min("f2") != F.max("f2")).alias("mixed")).where("n > 1").select("f", "mixed")
+    groups = parsed.where("f is not null").groupBy("f").agg(F.sum("n").alias("n"), (F.min("f2") != F.max("f2")).alias("mixed")).where("n > 1").select("f", "mixed")
     groups = stage(groups, "groups")
     again = stage(parsed.join(groups, "f"), "again")
+    within = stage(parsed.where("f is null").select(*KEY, "at"), "within")
     discard(parsed, groups)
-    classes = stage(_classes(again, F.count("*").alias("n")), "classes")
+    classes = stage(_classes(again, F.sum("n").alias("n")), "classes")
     inside = again.join(classes.where("n > 1").select("f", "f2"), ["f", "f2"]).select(*KEY, "at")
     edge = classes.where("mixed").select(*KEY, "at", "f")
     contexts = _contexts(rows, edge, unit)
-    many = stage(edge.groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("f"), "large-groups")
+    many = broadcast_if_small(large := stage(edge.groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("f"), "large-groups"))
     strings = _all_strings(contexts.join(many, "f", "left_semi"), unit)
     twice = stage(strings.groupBy("p").agg(F.count("*").alias("n")).where("n > 1").select("p"), "twice")
     edges = _edges(contexts.join(many, "f", "left_anti"), unit).union(strings.join(twice, "p").select(*KEY, "at"))
-    ranges = stage(inside.union(edges).groupBy(*KEY).agg(F.collect_set("at").alias("_runs")), "ranges")
-    discard(again, classes, contexts, many, strings, twice)
+    ranges = stage(inside.union(edges).union(within).groupBy(*KEY).agg(F.collect_set("at").alias("_runs")), "ranges")
+    discard(again, within, classes, contexts, large, strings, twice)
 
     inner = sealed.inner
 
