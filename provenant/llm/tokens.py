@@ -40,7 +40,7 @@ from .words import WORD_P, Words
 
 SHARD_BYTES = 32 << 20
 #: Pieces that a worker keeps from task to task (some 33 bytes each), the most ids and bytes of one that is kept, and pieces encoded at once.
-SLOTS, PIECE_IDS, PIECE_BYTES, NEW_PIECES = 1 << 20, 8, 64, 2_000
+SLOTS, PIECE_IDS, PIECE_BYTES, NEW_PIECES = 1 << 19, 8, 64, 2_000
 #: Bytes of a long text whose pieces are looked up together.
 PORTION = 1 << 20
 #: Kinds of bytes where pieces are cut: at blanks and line ends, and between a letter or digit and a mark.
