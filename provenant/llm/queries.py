@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import decontaminate as wm
-from . import langid, licenses, mixing, ngrams, quality, repeats, secrets, tokens, vectors
+from . import langid, licenses, mixing, ngrams, quality, repeats, secrets, sharding, tokens, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,9 +148,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", F.col("_links").alias("n_links"), F.col("_component").alias("component_id"), F.col("_kept").alias("kept"))
 
 
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of each document; equal texts share a shard, and the shards' sizes are near equal. ``capacity``: the smallest that is feasible."""
+    hashes = [c.alias(name) for c, name in zip(sharding.text_group(F.col("text")), ("g", "h"), strict=True)]
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", sharding.text_size(F.col("text")).alias("size"), crc.alias("text_crc32"), *hashes)
+    dealt = sharding.shard(docs, size=F.col("size"), group=(F.col("g"), F.col("h")))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("_capacity").alias("capacity"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name."""
-    return {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_token_records, op4_secret_scan, op5_language, op6_near_vectors, op7_repeats, op8_decontaminate, op9_license_scan, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_token_records, op4_secret_scan, op5_language, op6_near_vectors, op7_repeats, op8_decontaminate, op9_license_scan, op10_ngram_join, op12_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
