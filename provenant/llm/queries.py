@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import decontaminate as wm
-from . import langid, licenses, mixing, ngrams, quality, repeats, secrets, sharding, tokens, vectors
+from . import langid, licenses, mixing, ngrams, periodic, quality, repeats, secrets, sharding, tokens, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,6 +148,30 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", F.col("_links").alias("n_links"), F.col("_component").alias("component_id"), F.col("_kept").alias("kept"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of each document, of which a tenth is read as if words repeated, and what remains of it. ``runs`` lists them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h"), F.floor(h / 10).cast("long").alias("g"))
+    docs = docs.withColumn("n", F.when(F.col("h") % 10 == 0, F.nullif(mixing.word_count(F.col("text")), F.lit(0))))
+    docs = docs.withColumn("a", F.col("g") % F.col("n"))
+    period = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))
+    found = periodic.periodic_runs(docs.select("doc_id", "text", "a", period.alias("p")), cycle=(F.col("a"), F.col("p")))
+    longest = F.array_max(F.transform("_runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("_runs", lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period")))), "\n")
+    found = found.select("doc_id", F.size("_runs").cast("long").alias("n_runs"), longest.alias("l"), F.when(F.size("_runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("").alias("runs"), F.sha2("_collapsed", 256).alias("collapsed_sha256"))
+    return found.select(
+        "doc_id",
+        "n_runs",
+        (-F.col("l.start")).alias("start"),
+        F.col("l.length").alias("length"),
+        (-F.col("l.period")).alias("period"),
+        F.expr("1000 * l.length div -l.period").alias("exponent_milli"),
+        F.sha2("runs", 256).alias("runs_sha256"),
+        "collapsed_sha256",
+        "runs",
+    )
+
+
 def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of each document; equal texts share a shard, and the shards' sizes are near equal. ``capacity``: the smallest that is feasible."""
     hashes = [c.alias(name) for c, name in zip(sharding.text_group(F.col("text")), ("g", "h"), strict=True)]
@@ -159,7 +183,7 @@ def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name."""
-    return {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_token_records, op4_secret_scan, op5_language, op6_near_vectors, op7_repeats, op8_decontaminate, op9_license_scan, op10_ngram_join, op12_shards)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_token_records, op4_secret_scan, op5_language, op6_near_vectors, op7_repeats, op8_decontaminate, op9_license_scan, op10_ngram_join, op11_periodic_runs, op12_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
