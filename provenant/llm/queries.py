@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import decontaminate as wm
-from . import langid, licenses, mixing, ngrams, periodic, quality, repeats, secrets, sharding, tokens, vectors
+from . import conversations, langid, licenses, mixing, ngrams, periodic, quality, repeats, secrets, sharding, tokens, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -181,9 +181,16 @@ def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("_capacity").alias("capacity"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of each damaged conversation, its cheapest edits, and the digest of what they make of it."""
+    rows = conversations.damage(table(spark, sf_dir, "conversations"))
+    found = conversations.repair(rows, conv="conv", copies=F.col("copies")).digests()
+    return found.select(F.col("conv").alias("conv_id"), *conversations.COUNTS, "audit", F.col("sha256").alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name."""
-    return {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_token_records, op4_secret_scan, op5_language, op6_near_vectors, op7_repeats, op8_decontaminate, op9_license_scan, op10_ngram_join, op11_periodic_runs, op12_shards)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_token_records, op4_secret_scan, op5_language, op6_near_vectors, op7_repeats, op8_decontaminate, op9_license_scan, op10_ngram_join, op11_periodic_runs, op12_shards, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
