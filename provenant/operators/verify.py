@@ -27,10 +27,13 @@ def check_citations(citations: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def scrub_marks(answers: DataFrame, checked: DataFrame, *, text: str = "text", cleaned: str = "cleaned") -> DataFrame:
-    """Answers (query_id, text) without the marks of sources that have no valid quotation."""
+    """Answers (query_id, and a text or an array of texts) without the marks of sources that have no valid quotation."""
     good = checked.where("valid").groupBy("query_id").agg(F.collect_set("source").alias("_good"))
     x = answers.join(good, "query_id", "left").withColumn("_good", F.coalesce("_good", F.array().cast("array<string>")))
-    marks = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(MARK)), lambda n: F.concat(F.lit("S"), n)))
-    bad = F.filter(marks, lambda m: ~F.array_contains("_good", m))
-    out = F.aggregate(bad, F.col(text), lambda t, m: F.replace(t, F.concat(F.lit("["), m, F.lit("]")), F.lit("")))
-    return x.withColumn(cleaned, out).drop("_good")
+
+    def scrubbed(t: Column) -> Column:
+        marks = F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(MARK)), lambda n: F.concat(F.lit("S"), n)))
+        return F.aggregate(F.filter(marks, lambda m: ~F.array_contains("_good", m)), t, lambda u, m: F.replace(u, F.concat(F.lit("["), m, F.lit("]")), F.lit("")))
+
+    many = dict(answers.dtypes)[text].startswith("array")
+    return x.withColumn(cleaned, F.transform(text, scrubbed) if many else scrubbed(F.col(text))).drop("_good")
