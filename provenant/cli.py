@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from provenant.functions.text import words
 from provenant.operators import enrich, evaluate, flows, index, report, retrieve, rules, segment
+from provenant.session import checkpointed
 from provenant.sources import files, loading
 
 
@@ -46,12 +47,12 @@ def library(spark: SparkSession, out: str, load=None) -> flows.Library:
     """What ``build`` wrote, as a library."""
     chunks = files.read_chunks(spark, f"{out}/chunks")
     text = index.embedding_text(*(F.col(c) for c in ("doc_title", "chapter", "section", "alias", "text")))
-    chunks = chunks.withColumns({"pos": F.row_number().over(segment.Window.partitionBy("doc_id").orderBy("article_no", "chunk_id")), "_words": F.array_distinct(words(text))})
+    chunks = chunks.withColumns({"_words": F.array_distinct(words(text))})
     vectors, postings = index.read_index(spark, f"{out}/index")
     cases = enrich.cases(chunks)
     query = F.array_distinct(words(F.col("query_text")))
     return flows.Library(
-        chunks=chunks, vectors=vectors.select("chunk_id", "vector"), postings=postings, terms=enrich.definition_terms(chunks), cases=cases.select("case_id", "keywords"),
+        chunks=chunks, vectors=vectors.select("chunk_id", "vector"), postings=postings, terms=enrich.definition_terms(chunks), cases=cases.select("case_id", "keywords", "title"),
         members=chunks.where("kind = 'case'").select("chunk_id", F.concat("doc_id", F.lit("#"), "article_no").alias("case_id")),
         glossary=rules.glossary(spark), required=rules.required(spark), score=F.coalesce(F.size(F.array_intersect(query, "_words")) / F.nullif(F.size(query), F.lit(0)), F.lit(0.0)), load=load or (lambda: index.hashing_encoder),
     )
@@ -68,11 +69,20 @@ def evaluation(spark: SparkSession, x: flows.Library, path: str, ids: str = "")
     found = flows.search_all(q.select(F.col("id").alias("query_id"), F.col("question").alias("text")), x)
     hits = found.hits.select(F.col("query_id").alias("id"), F.lit(0).alias("search_no"), "hit_rank", "chunk_id", "score")
     none = F.array().cast("array<string>")
-    cases = found.cases.groupBy(F.col("query_id").alias("id")).agg(F.array_sort(F.collect_list("case_id")).alias("cases"))
+    shown = F.concat(F.coalesce("title", "case_id"), F.lit("("), F.format_number("score", 2), F.lit(")"))
+    cases = found.cases.join(x.cases.select("case_id", "title"), "case_id", "left").groupBy(F.col("query_id").alias("id"))
+    cases = cases.agg(F.transform(F.array_sort(F.collect_list(F.struct("case_rank", shown.alias("s")))), lambda c: c["s"]).alias("cases"))
     answers = found.gate.select(F.col("query_id").alias("id"), (~F.col("has_evidence")).alias("refused"), F.when(F.col("has_evidence"), "").otherwise("no_evidence").alias("reason"), F.lit("").alias("answer"), none.alias("cited"), none.alias("dropped")).join(cases, "id", "left")
     return evaluate.evaluation_rows(q, hits, answers)
 
 
+def everything(rows: DataFrame) -> None:
+    """All rows, a line each, as they come; a result isn't held as a whole."""
+    print("\t".join(rows.columns))
+    for r in rows.toLocalIterator():
+        print("\t".join(str(v) for v in r))
+
+
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="provenant")
     parser.add_argument("--encoder")
@@ -83,13 +93,17 @@ def main(args: list[str] | None = None) -> None:
             p.add_argument(f, nargs="+" if f == "text" else None)
         if name == "ask":
             p.add_argument("--mode", choices=("auto", "qa", "scenario"), default="auto")
-            p.add_argument("--planner", required=True)
-            p.add_argument("--generator", required=True)
+        if name in ("ask", "eval"):
+            p.add_argument("--planner", required=name == "ask")
+            p.add_argument("--generator", required=name == "ask")
         if name == "eval":
+            p.add_argument("--full", action="store_true", help="answer the questions by --planner and --generator as well")
             p.add_argument("--ids", default="")
             p.add_argument("--details")
             p.add_argument("--page")
     o = parser.parse_args(args)
+    if o.command == "eval" and o.full and not (o.planner and o.generator):
+        parser.error("--full needs --planner and --generator")
     spark = SparkSession.builder.appName("provenant").getOrCreate()
     load = named(o.encoder)
     if o.command == "build":
@@ -98,15 +112,19 @@ def main(args: list[str] | None = None) -> None:
     x = library(spark, o.out, load)
     if o.command == "search":
         found = flows.search_all(questions(spark, o.text).drop("mode"), x)
-        found.hits.join(x.chunks.select("chunk_id", "citation"), "chunk_id").select("query_id", "hit_rank", F.round("score", 3).alias("score"), "citation", "dense_rank", "sparse_rank").orderBy("query_id", "hit_rank").show(retrieve.TOP_K * 10, truncate=False)
-        found.gate.orderBy("query_id").show(truncate=False)
+        everything(found.hits.join(x.chunks.select("chunk_id", "citation"), "chunk_id").select("query_id", "hit_rank", F.round("score", 3).alias("score"), "citation", "dense_rank", "sparse_rank").orderBy("query_id", "hit_rank"))
+        everything(found.gate.orderBy("query_id"))
     elif o.command == "ask":
-        answers, references = flows.ask(questions(spark, o.text, o.mode), x, named(o.planner), named(o.generator))
-        answers.orderBy("query_id").show(truncate=False)
-        references.orderBy("query_id", "n").show(truncate=False)
+        given = flows.ask(questions(spark, o.text, o.mode), x, named(o.planner), named(o.generator))
+        everything(given.answers.select("query_id", "mode", "refused", "refuse_reason", "verdict", "final", "sections", "analysis").orderBy("query_id"))
+        everything(given.references.orderBy("query_id", "n"))
     else:
-        rows = evaluation(spark, x, o.questions, o.ids)
-        print(report.markdown(rows, full=False))
+        if o.full:
+            asked = files.with_ids(files.read_questions(spark, o.questions), o.ids)
+            rows = checkpointed(flows.evaluated(asked, x, named(o.planner), named(o.generator)))
+        else:
+            rows = checkpointed(evaluation(spark, x, o.questions, o.ids))
+        print(report.markdown(rows, full=o.full))
         if o.details:
             files.write_details(rows, o.details)
         if o.page:

@@ -15,11 +15,15 @@ SHORT_POINTS, SHORT_CASE = "缺少要点", "案例展示不符合预期"
 
 
 def evaluation_rows(questions: DataFrame, hits: DataFrame, answers: DataFrame) -> DataFrame:
-    """A row for each question.
+    """A row for each question, in the 26 columns of ``sources.files.DETAILS``.
 
-    ``questions``: id, type, expect, gold, must (arrays), expect_case (boolean or null). ``hits``: id, search_no (0: the main search), hit_rank, chunk_id, score.
-    ``answers``: id, refused, reason, answer, cited (array), dropped (array), cases (array). hit_at_k counts all searches, and whatever they return beyond k.
+    ``questions``: id, type, expect, gold, must (arrays), expect_case (boolean or null), and question and key if they have them. ``hits``: id, search_no (0: the main search), hit_rank, chunk_id, score.
+    ``answers``: id, refused, reason, answer, cited (array), dropped (array), cases (array), and verdict and seconds if they have them. hit_at_k counts all searches, and whatever they return beyond k.
     """
+    more = {"question": F.lit(""), "key": F.lit("")}
+    questions = questions.withColumns({c: F.coalesce(F.col(c).cast("string"), x) if c in questions.columns else x for c, x in more.items()})
+    more = {"verdict": F.lit(""), "seconds": F.lit(0.0)}
+    answers = answers.withColumns({c: F.coalesce(F.col(c), x) if c in answers.columns else x for c, x in more.items()})
     listed = lambda on: F.transform(F.array_sort(F.collect_list(F.when(on, F.struct("search_no", "hit_rank", "chunk_id")))), lambda x: x["chunk_id"])
     first = F.max(F.when((F.col("search_no") == 0) & (F.col("hit_rank") == 1), F.col("score")))
     found = hits.groupBy("id").agg(listed(F.col("search_no") == 0).alias("main"), F.array_distinct(listed(F.lit(True))).alias("retrieved"), first.alias("_top"))
@@ -27,12 +31,12 @@ def evaluation_rows(questions: DataFrame, hits: DataFrame, answers: DataFrame) -
     none = F.array().cast(f"array<{kind}>")
     text = F.array().cast("array<string>")
     x = questions.join(found, "id", "left").join(answers, "id", "left")
-    x = x.withColumns({"main": F.coalesce("main", none), "retrieved": F.coalesce("retrieved", none), "gold": F.coalesce("gold", none), "must": F.coalesce("must", text), "refused": F.coalesce("refused", F.lit(True)), "cited": F.coalesce("cited", none), "dropped": F.coalesce("dropped", text), "cases": F.coalesce("cases", text)})
+    x = x.withColumns({"main": F.coalesce("main", none), "retrieved": F.coalesce("retrieved", none), "gold": F.array_sort(F.array_distinct(F.coalesce("gold", none))), "must": F.coalesce("must", text), "refused": F.coalesce("refused", F.lit(True)), "cited": F.coalesce("cited", none), "dropped": F.coalesce("dropped", text), "cases": F.coalesce("cases", text)})
     ranks = F.filter(F.transform("gold", lambda g: F.array_position("main", g)), lambda r: r > 0)
     missing = F.when(F.col("refused"), F.col("must")).otherwise(missing_points(F.coalesce("answer", F.lit("")), F.col("must")))
     shown = F.size("cases") > 0
     return x.select(
-        "id", "type", "expect", "refused", "reason",
+        "id", "type", "question", "expect", "refused", F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("verdict", F.lit("")).alias("verdict"),
         F.round(F.coalesce("_top", F.lit(0.0)), 3).alias("top_score"),
         F.coalesce(F.array_contains("gold", F.try_element_at("main", F.lit(1))), F.lit(False)).alias("hit_at_1"),
         F.arrays_overlap("gold", "retrieved").alias("hit_at_k"),
@@ -42,7 +46,7 @@ def evaluation_rows(questions: DataFrame, hits: DataFrame, answers: DataFrame) -
         F.size("dropped").alias("dropped_citations"), F.col("dropped").alias("dropped_detail"),
         missing.alias("missing_points"), (F.size(missing) == 0).alias("points_ok"),
         "expect_case", F.col("cases").alias("cases_shown"), F.when(F.col("expect_case").isNotNull(), shown == F.col("expect_case")).alias("case_ok"),
-        "retrieved", F.coalesce("answer", F.lit("")).alias("answer"),
+        "retrieved", F.coalesce("answer", F.lit("")).alias("answer"), "key", F.round(F.coalesce("seconds", F.lit(0.0)), 1).alias("seconds"),
     )
 
 

@@ -131,6 +131,21 @@ def chunk_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("chunk_id", "doc_id", "doc_type", "article_no", "page_start", F.md5("text").alias("text_md5"))
 
 
+def stored_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases from chunks that were written as JSON lines and read again: each document is a case in packs of three lines, many of them more than ten."""
+    path = shared_path(spark, "cases")
+    x = tables.lines(docs(spark, sf_dir).where("text is not null").select("doc_id", "text", "source").withColumn("key", F.struct("doc_id", "source")), key="key")
+    k = F.floor(F.col("line_no") / 3)
+    packs = x.groupBy("key", k.alias("pos")).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda z: z["text"]).alias("lines"))
+    name = F.concat(F.lit("案例1 甲·"), F.when(F.col("pos") % 2 == 0, "正文").otherwise("典型意义"))
+    cut = packs.select(
+        F.concat("key.doc_id", F.lit("#"), name, F.lit("("), F.col("pos") + 1, F.lit(")")).alias("chunk_id"), F.col("key.doc_id").cast("string").alias("doc_id"), F.col("key.source").alias("doc_title"), F.lit("case").alias("kind"), name.alias("article"),
+        F.lit(1).alias("article_no"), F.concat(name, F.lit("\n"), F.array_join("lines", "\n")).alias("text"), F.lit(None).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end"), "pos",
+    )
+    files.write_chunks(cut.repartition("chunk_id"), path)
+    return enrich.cases(files.read_chunks(spark, path)).select("case_id", "title", "source", F.md5("full_text").alias("text_md5"))
+
+
 def plan_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues of plans: at most five, none without a query; plans that can't be read have none."""
     parts = F.transform(F.split("text", r"\. ?"), lambda t: F.struct(t.alias("query"), F.lit("x").alias("why")))
@@ -225,7 +240,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            file_titles, authority_levels, clean_pages, page_metadata, metadata_overrides, chinese_numbers, prefer_files, offence_alias, pinned_articles, embedding_texts, index_roundtrip, chunk_roundtrip, plan_issues, refusals, alias_quotes,
+            file_titles, authority_levels, clean_pages, page_metadata, metadata_overrides, chinese_numbers, prefer_files, offence_alias, pinned_articles, embedding_texts, index_roundtrip, chunk_roundtrip, stored_cases, plan_issues, refusals, alias_quotes,
             question_ids, detail_roundtrip,
         )
     }
@@ -238,5 +253,5 @@ def oracle_sql() -> dict[str, str]:
         "chinese_numbers": f"SELECT doc_id, {sql_number('x')} AS value FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN CAST(doc_id % 500 AS VARCHAR) ELSE {num('doc_id % 199 + 1')} END AS x FROM documents)",
         "prefer_files": f"SELECT doc_id, CASE {SUFFIX} WHEN '.docx' THEN 0 WHEN '.doc' THEN 1 WHEN '.md' THEN 1 WHEN '.pdf' THEN 2 ELSE 3 END AS suffix_rank, length(list_extract(string_split({PATH}, '/'), -1)) AS name_length FROM documents",
         "offence_alias": f"WITH {ALIASES}, x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '{rules.CRIMINAL_LAW}' ELSE '别的法' END AS doc_title, concat('第', {num('doc_id % 199 + 1')}, '条') AS article FROM documents) SELECT doc_id, doc_title, article, CASE WHEN doc_title = '{rules.CRIMINAL_LAW}' THEN coalesce(alias, '') ELSE '' END AS alias FROM x LEFT JOIN aliases USING (article)",
-        "pinned_articles": PINNED_SQL, "embedding_texts": EMBED_SQL, "index_roundtrip": INDEX_SQL, "chunk_roundtrip": ROUND_SQL, "plan_issues": ISSUES_SQL, "refusals": REFUSE_SQL, "alias_quotes": ALIAS_SQL, "question_ids": IDS_SQL, "detail_roundtrip": DETAIL_SQL,
+        "pinned_articles": PINNED_SQL, "embedding_texts": EMBED_SQL, "index_roundtrip": INDEX_SQL, "chunk_roundtrip": ROUND_SQL, "stored_cases": "SELECT doc_id || '#1' AS case_id, '案例1 甲' AS title, source, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL", "plan_issues": ISSUES_SQL, "refusals": REFUSE_SQL, "alias_quotes": ALIAS_SQL, "question_ids": IDS_SQL, "detail_roundtrip": DETAIL_SQL,
     }

@@ -22,10 +22,15 @@ DEFAULT_TYPE = "内部制度"
 LEAST_CHARS_A_PAGE = 50
 CHUNK_SCHEMA = (
     "chunk_id string, doc_id string, doc_title string, doc_type string, source_file string, version string, effective_date string, doc_no string, status string, "
-    "kind string, chapter string, section string, article string, article_no int, alias string, page_start int, page_end int, text string, citation string"
+    "kind string, chapter string, section string, article string, article_no int, alias string, page_start int, page_end int, text string, citation string, pos long"
 )
-LIST_COLUMNS = ("cited", "missing_points", "cases_shown", "retrieved", "gold")
-FLAG_COLUMNS = ("refused", "hit@1", "hit@k", "cited_gold", "points_ok", "case_ok", "expect_case")
+#: Columns of evaluation details, as they stand in files; two have other names in tables.
+DETAILS = {
+    "id": "string", "type": "string", "question": "string", "expect": "string", "refused": "boolean", "reason": "string", "verdict": "string", "top_score": "double", "hit@1": "boolean", "hit@k": "boolean", "gold_rank": "int",
+    "has_gold": "boolean", "gold": "list", "cited": "list", "cited_gold": "boolean", "dropped_citations": "int", "dropped_detail": "list", "missing_points": "list", "points_ok": "boolean", "expect_case": "boolean", "cases_shown": "list",
+    "case_ok": "boolean", "retrieved": "list", "answer": "string", "key": "string", "seconds": "double",
+}
+DETAIL_NAMES = {"hit@1": "hit_at_1", "hit@k": "hit_at_k"}
 
 Reader = Callable[[bytes], list[list[str]]]
 
@@ -108,13 +113,15 @@ def uncached(files: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunks as JSON lines."""
+    """Chunks as JSON lines. Rows of a file have no order that lasts, so each chunk carries its place in its document (``pos``)."""
     chunks.select(*(c.split()[0] for c in CHUNK_SCHEMA.split(", ") if c.split()[0] in chunks.columns)).write.mode("overwrite").json(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of JSON lines, in the fixed schema."""
-    return spark.read.schema(CHUNK_SCHEMA).json(path)
+    """Chunks of JSON lines, in the fixed schema. In files without ``pos`` it is the chunk's place in its file: a block's start, and rows from there."""
+    x = spark.read.schema(CHUNK_SCHEMA).json(path)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return x.withColumn("pos", F.coalesce("pos", F.col("_metadata.file_block_start") + row))
 
 
 QUESTION_SCHEMA = "id string, type string, mode string, question string, gold array<string>, must array<string>, expect string, expect_case boolean, key string"
@@ -143,19 +150,37 @@ def with_ids(questions: DataFrame, ids: str) -> DataFrame:
 
 
 def write_details(rows: DataFrame, path: str) -> None:
-    """Evaluation rows as CSV with a byte-order mark and a header; lists as JSON."""
-    lists = [c for c, kind in rows.dtypes if kind.startswith("array")]
-    marked = rows.withColumns({c: F.to_json(c) for c in lists}).withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0])
-    marked.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """Evaluation rows as CSV with a byte-order mark and a header: known columns first, in their order and by their names in files; lists as JSON, True and False."""
+    known = {DETAIL_NAMES.get(c, c): c for c in DETAILS if DETAIL_NAMES.get(c, c) in rows.columns}
+    order = [*known, *(c for c in rows.columns if c not in known)]
+    kinds = dict(rows.dtypes)
+
+    def cell(c: str) -> Column:
+        if kinds[c].startswith("array"):
+            return F.to_json(c)
+        return F.when(F.col(c), "True").when(~F.col(c), "False") if kinds[c] == "boolean" else F.col(c)
+
+    marked = rows.select(*(cell(c).alias(known.get(c, c)) for c in order))
+    marked.withColumnRenamed(marked.columns[0], "\ufeff" + marked.columns[0]).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def read_details(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation rows from CSV, typed; a byte-order mark is passed over, and without has_gold all but out-of-scope questions have gold."""
+    """Evaluation rows from CSV in the types of ``DETAILS``, as ``evaluate`` takes them; a byte-order mark is passed over.
+
+    Known columns that the file lacks are null (lists: empty), but without has_gold all but out-of-scope questions have gold. Other columns stay as text.
+    """
     x = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
-    x = x.withColumnsRenamed({c: c.lstrip("﻿") for c in x.columns if c.startswith("﻿")})
-    flags = {c: F.col(f"`{c}`").try_cast("boolean") for c in (*FLAG_COLUMNS, "has_gold") if c in x.columns}
-    lists = {c: F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>")) for c in LIST_COLUMNS if c in x.columns}
-    x = x.withColumns(flags | lists)
-    if "has_gold" not in x.columns:
-        x = x.withColumn("has_gold", F.col("type") != "out_of_kb")
-    return x.withColumn("seconds", F.coalesce(F.col("seconds").try_cast("double"), F.lit(0.0))) if "seconds" in x.columns else x
+    x = x.withColumnsRenamed({c: c.lstrip("\ufeff") for c in x.columns if c.startswith("\ufeff")})
+    empty = F.array().cast("array<string>")
+
+    def cell(c: str, kind: str) -> Column:
+        there = c in x.columns
+        value = F.col(f"`{c}`") if there else F.lit(None).cast("string")
+        if kind == "list":
+            return F.coalesce(F.from_json(value, "array<string>"), empty)
+        if c == "has_gold" and not there:
+            return F.col("type") != "out_of_kb"
+        typed = F.coalesce(value, F.lit("")) if kind == "string" and there else value.try_cast(kind)
+        return F.coalesce(typed, F.lit(0.0)) if c == "seconds" else typed
+
+    return x.select(*(cell(c, kind).alias(DETAIL_NAMES.get(c, c)) for c, kind in DETAILS.items()), *(f"`{c}`" for c in x.columns if c not in DETAILS))

@@ -6,6 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from provenant import cli
+from provenant.operators import segment
 from provenant.sources import files, loading
 
 ARTICLES = "".join(f"第{n}条 个人办理外汇业务应当遵守第{n}项规定，并保存单据备查。\n" for n in "一二三四五六七")
@@ -70,3 +71,16 @@ def test_commands(spark, tmp_path, capsys):
     assert "retrieval hit" in capsys.readouterr().out and "with issues" in (tmp_path / "page.html").read_text()
     assert files.read_details(spark, str(tmp_path / "details")).count() == 2
     assert any(p.read_bytes().startswith(b"\xef\xbb\xbf") for p in (tmp_path / "details").glob("part-*"))
+
+
+def test_chunks_keep_their_order(spark, tmp_path):
+    """Ten packs and more of an item, and parts of a case: as built, so read."""
+    docs = spark.createDataFrame([("D", "甲条例", "规范性文件", "p", [(t, None) for t in ["前言" * 20, *[f"一、事项{'长' * 700}", *(f"（{'一二三四五六七八九'[i % 9]}）分项{i}{'长' * 700}" for i in range(13))], "二、另一项", "三、再一项"]])], "doc_id string, doc_title string, doc_type string, source_file string, lines array<struct<text:string,page:int>>")
+    made = segment.build(docs)[0]
+    want = [r["chunk_id"] for r in made.orderBy("doc_id", "pos").collect()]
+    files.write_chunks(made.repartition(3, "chunk_id"), str(tmp_path / "chunks"))
+    read = files.read_chunks(spark, str(tmp_path / "chunks"))
+    assert [r["chunk_id"] for r in read.orderBy("doc_id", "pos").collect()] == want and len(want) > 12
+    assert sorted(want) != want  # names don't give the order
+    (tmp_path / "plain.jsonl").write_text("".join('{"chunk_id": "c%d", "doc_id": "d"}\n' % i for i in (3, 1, 2)))
+    assert [r["chunk_id"] for r in files.read_chunks(spark, str(tmp_path / "plain.jsonl")).orderBy("pos").collect()] == ["c3", "c1", "c2"]
