@@ -1,6 +1,6 @@
 """Command lines: ``python -m provenant.cli build|search|ask|eval ...``; run them with spark-submit on a cluster.
 
-Models are named as ``module:attribute``: an encoder loader, a planner and a generator (tables in, tables out). Without them the stand-ins answer.
+Models are a service of chat completions, or named as ``module:attribute``: an encoder loader, a planner and a generator (tables in, tables out). Without them the stand-ins answer.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenant.functions.text import words
-from provenant.operators import enrich, evaluate, flows, index, report, retrieve, rules, segment
+from provenant.operators import enrich, evaluate, flows, index, model, report, rules, segment
 from provenant.session import checkpointed
 from provenant.sources import files, loading
 
@@ -49,12 +49,13 @@ def library(spark: SparkSession, out: str, load=None) -> flows.Library:
     text = index.embedding_text(*(F.col(c) for c in ("doc_title", "chapter", "section", "alias", "text")))
     chunks = chunks.withColumns({"_words": F.array_distinct(words(text))})
     vectors, postings = index.read_index(spark, f"{out}/index")
+    lists, blocks = index.read_search(spark, f"{out}/index")
     cases = enrich.cases(chunks)
     query = F.array_distinct(words(F.col("query_text")))
     return flows.Library(
         chunks=chunks, vectors=vectors.select("chunk_id", "vector"), postings=postings, terms=enrich.definition_terms(chunks), cases=cases.select("case_id", "keywords", "title"),
         members=chunks.where("kind = 'case'").select("chunk_id", F.concat("doc_id", F.lit("#"), "article_no").alias("case_id")),
-        glossary=rules.glossary(spark), required=rules.required(spark), score=F.coalesce(F.size(F.array_intersect(query, "_words")) / F.nullif(F.size(query), F.lit(0)), F.lit(0.0)), load=load or (lambda: index.hashing_encoder),
+        glossary=rules.glossary(spark), required=rules.required(spark), score=F.coalesce(F.size(F.array_intersect(query, "_words")) / F.nullif(F.size(query), F.lit(0)), F.lit(0.0)), load=load or (lambda: index.hashing_encoder), lists=lists, blocks=blocks,
     )
 
 
@@ -76,6 +77,14 @@ def evaluation(spark: SparkSession, x: flows.Library, path: str, ids: str = "")
     return evaluate.evaluation_rows(q, hits, answers)
 
 
+def models(o: argparse.Namespace) -> dict:
+    """Planner and generators that a command line names."""
+    if not o.chat:
+        return {"planner": named(o.planner), "model": named(o.generator)}
+    call, how = model.chat(o.chat, o.model), {"settings": f"{o.chat} {o.model}"}
+    return {"planner": model.planner(call, o.log, **how), "model": model.generator(call, o.log, model.QUESTION_RULES, **how), "scenario_model": model.generator(call, o.log, model.ASSESSMENT_RULES, **how)}
+
+
 def everything(rows: DataFrame) -> None:
     """All rows, a line each, as they come; a result isn't held as a whole."""
     print("\t".join(rows.columns))
@@ -94,16 +103,19 @@ def main(args: list[str] | None = None) -> None:
         if name == "ask":
             p.add_argument("--mode", choices=("auto", "qa", "scenario"), default="auto")
         if name in ("ask", "eval"):
-            p.add_argument("--planner", required=name == "ask")
-            p.add_argument("--generator", required=name == "ask")
+            p.add_argument("--planner")
+            p.add_argument("--generator")
+            p.add_argument("--chat", help="address of a service of chat completions, instead of --planner and --generator")
+            p.add_argument("--model", default="", help="its model's name")
+            p.add_argument("--log", help="folder of its replies, from which later runs go on")
         if name == "eval":
             p.add_argument("--full", action="store_true", help="answer the questions by --planner and --generator as well")
             p.add_argument("--ids", default="")
             p.add_argument("--details")
             p.add_argument("--page")
     o = parser.parse_args(args)
-    if o.command == "eval" and o.full and not (o.planner and o.generator):
-        parser.error("--full needs --planner and --generator")
+    if (o.command == "ask" or o.command == "eval" and o.full) and not (o.planner and o.generator or o.chat and o.log):
+        parser.error("answers need --planner and --generator, or --chat and --log")
     spark = SparkSession.builder.appName("provenant").getOrCreate()
     load = named(o.encoder)
     if o.command == "build":
@@ -115,13 +127,13 @@ def main(args: list[str] | None = None) -> None:
         everything(found.hits.join(x.chunks.select("chunk_id", "citation"), "chunk_id").select("query_id", "hit_rank", F.round("score", 3).alias("score"), "citation", "dense_rank", "sparse_rank").orderBy("query_id", "hit_rank"))
         everything(found.gate.orderBy("query_id"))
     elif o.command == "ask":
-        given = flows.ask(questions(spark, o.text, o.mode), x, named(o.planner), named(o.generator))
+        given = flows.ask(questions(spark, o.text, o.mode), x, **models(o))
         everything(given.answers.select("query_id", "mode", "refused", "refuse_reason", "verdict", "final", "sections", "analysis").orderBy("query_id"))
         everything(given.references.orderBy("query_id", "n"))
     else:
         if o.full:
             asked = files.with_ids(files.read_questions(spark, o.questions), o.ids)
-            rows = checkpointed(flows.evaluated(asked, x, named(o.planner), named(o.generator)))
+            rows = checkpointed(flows.evaluated(asked, x, **models(o)))
         else:
             rows = checkpointed(evaluation(spark, x, o.questions, o.ids))
         print(report.markdown(rows, full=o.full))

@@ -251,6 +251,7 @@ def oracle_sql() -> dict[str, str]:
         "definition_terms": DEFINE,
         "case_aggregate": CASES,
         "dense_topk": DENSE,
+        "dense_lists": DENSE,
         "sparse_topk": f"WITH {CORPUS} SELECT query_id, chunk_id, rank, score FROM lex",
         "rrf_fuse": f"WITH {CORPUS} SELECT query_id, chunk_id, dense_rank, sparse_rank, round(rrf, 9) AS rrf, fused_rank FROM fused",
         "rerank_cap_topk": f"WITH {SEARCH} SELECT query_id, chunk_id, pinned, required, round(score, 6) AS score, hit_rank FROM hits",

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provenant.functions import text as fn
-from provenant.operators import answer, cleaning, dedupe, enrich, evaluate, retrieve, segment, verify
+from provenant.operators import answer, cleaning, dedupe, enrich, evaluate, lists, retrieve, segment, verify
 
-from provenant.session import checkpointed
+from provenant.session import checkpointed, shared_path
 
 from . import tables
 from .tables import table
@@ -171,6 +171,15 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+def dense_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As dense_topk, through an index of lists that is written and read again."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    path = shared_path(spark, "lists")
+    lists.write_lists(e, path)
+    found = lists.read_lists(spark, path).search(e.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vector"))
+    return found.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 30 documents that share most words with each benchmark item."""
     return tables.corpus(spark, sf_dir).sparse().select("query_id", "chunk_id", "rank", "score")
@@ -356,7 +365,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             clean_junk_lines, running_lines, page_boilerplate, classify_level, normalize_text, stable_ids, char_shingles, near_dup_pairs, dedupe_survivors, benchmark_containment,
             segment_by_marker, chunk_citation, corpus_report, expand_query, required_evidence, definition_terms, case_aggregate,
-            dense_topk, sparse_topk, rrf_fuse, rerank_cap_topk, case_search, evidence_gate, hybrid_search,
+            dense_topk, dense_lists, sparse_topk, rrf_fuse, rerank_cap_topk, case_search, evidence_gate, hybrid_search,
             route_intent, merge_searches, number_sources, verify_quotes, scrub_marks,
             keypoint_coverage, eval_rows, eval_metrics, metric_ratios, answer_length, failure_list, threshold_sweep,
         )
