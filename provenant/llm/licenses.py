@@ -2,11 +2,11 @@
 
 Around each cue word of licensing, as many words as the longest template has, and some slack, are looked at. A block may start
 wherever one of a template's first words stands, at a line, a sentence or within one; what precedes it doesn't count. If the
-first of them are missing, the words in their places count as differences, back to the line's or sentence's start. Only blocks
-that hold enough of a template's words can be its wording. Such a block is compressed with the template as a zstandard raw
-dictionary, which must make it smaller than without one. It is then confirmed or not by the exact wording: the words of
-block and template are aligned, every difference is listed, and a template wins only with few differences, none of them in a
-word with a digit (a version). Of wordings that overlap, the one with the fewest differences wins, then the longest. Line breaks and comment
+first of them are missing, the words in their places count as differences, back to the line's or sentence's start. Blocks of some lengths are
+compressed with all templates of that length as one zstandard raw dictionary; where that saves little, none of them stands there. The others are compressed with
+each template as dictionary, and the templates are ranked by the bytes that they save. In that order each is confirmed or not by the exact wording: the words of
+block and template are aligned, every difference is listed, and the first template with few differences, none of them in a
+word with a digit (a version), wins the block. Of blocks that overlap, the one that saved most bytes stays. Line breaks and comment
 marks between words don't matter, neither to the words nor to the compression.
 """
 
@@ -61,8 +61,10 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 CUE = re.compile(r"licen[cs]|copyright|permission|redistribut|public[\W_]+domain|rights[\W_]+reserved|creative[\W_]+commons|free[\W_]+software", re.I)
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
-#: Least share of the block's size saved, and most differences as a share of the template's words.
-LEAST_SAVED, MOST_DIFFERENT = 0.25, 0.12
+#: Least share of the block's size saved by a template, by all templates of a length, and most differences as a share of the template's words.
+LEAST_SAVED, LEAST_SAVED_BY_ALL, MOST_DIFFERENT = 0.25, 0.1, 0.12
+#: Words of the blocks that are compressed with all templates of up to that length; longer templates have blocks of the longest one's length.
+LENGTHS = (8, 16, 40, 120)
 #: What ends a sentence or line.
 EDGE = re.compile(r"[\n]|[.!?]\s")
 #: Words of a long text that are looked at together.
@@ -80,15 +82,49 @@ class Scanner:
         self.most = [int(max(1, MOST_DIFFERENT * len(w))) for w in self.words]
         self.lengths = [int(len(w) * 1.2) + 4 for w in self.words]  # words of a block
         self.reach = max(self.lengths, default=0)
+        # where a template's wording may start: one of its first words, and how many stand before it
+        self.openings: dict[str, list[tuple[int, int]]] = {}
+        for k, w in enumerate(self.words):
+            for j, first in enumerate(w[: self.most[k] + 1]):
+                self.openings.setdefault(first, []).append((k, j))
         make = lambda **k: zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_dict_id=False, **k)
         self.plain = make()
         self.texts = [" ".join(w) for w in self.words]
-        self.given = [make(dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in self.texts]
-
-    def saved(self, have: list[str], k: int) -> float:
-        """The share of a block's size that a template saves. The block is cut to the template's length and slack."""
+        raw = lambda t: make(dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+        self.given = [raw(t) for t in self.texts]
+        self.classes = [bisect_left(LENGTHS, n) for n in self.lengths]
+        together = lambda c: "\n".join(t for t, mine in zip(self.texts, self.classes, strict=True) if mine == c)
+        self.joint = {c: ((*LENGTHS, self.reach)[c], raw(together(c))) for c in set(self.classes)}
+
+    def reduction(self, have: list[str], k: int) -> tuple[int, float]:
+        """Bytes and share of a block's size that a template saves. The block is cut to the template's length and slack."""
         data = " ".join(have)[: int(len(self.texts[k]) * 1.1) + 8].encode()
-        return 1 - len(self.given[k].compress(data)) / len(self.plain.compress(data))
+        plain = len(self.plain.compress(data))
+        given = len(self.given[k].compress(data))
+        return plain - given, 1 - given / plain
+
+    def may_hold(self, words: list[str], c: int) -> bool:
+        """Whether all templates of a length together make the words' first block smaller."""
+        n, joint = self.joint[c]
+        data = " ".join(words[:n]).encode()
+        return len(joint.compress(data)) <= (1 - LEAST_SAVED_BY_ALL) * len(self.plain.compress(data))
+
+    def confirmed(self, have: list[str], k: int) -> tuple[list[str], int] | None:
+        """The exact wording's differences and words, if they are few; alignment is left out where the words alone differ too much."""
+        if not self.enough(Counter(have), k):
+            return None
+        found, n = self.differences(have, k)
+        return None if len(found) > self.most[k] or any(re.search(r"\d", x) for x in found) else (found, n)
+
+    def winner(self, words: list[str], start: int, templates: set[int]) -> tuple[int, int, float, list[str], int] | None:
+        """(bytes saved, template, share saved, differences, words) of the first template, in order of bytes saved, whose wording is confirmed at a start."""
+        block = words[start : start + self.reach]
+        passed = {c for c in {self.classes[k] for k in templates} if self.may_hold(block, c)}
+        saved = [(*self.reduction(block[: self.lengths[k]], k), k) for k in templates if self.classes[k] in passed]
+        for size, share, k in sorted((x for x in saved if x[1] >= LEAST_SAVED), key=lambda x: (-x[0], x[2])):
+            if sure := self.confirmed(block[: self.lengths[k]], k):
+                return size, k, share, *sure
+        return None
 
     def enough(self, have: Counter, k: int) -> bool:
         """Whether words hold so many of a template's that the rest could be its allowed differences."""
@@ -119,17 +155,17 @@ class Scanner:
         yield held, own, len(held)
 
     def wordings(self, text: str) -> list[tuple[int, float, list[str], int, int]]:
-        """(template, share saved, differences, start, end) of all confirmed wordings of a whole text, the best first."""
+        """(template, share saved, differences, start, end) of all confirmed wordings of a whole text, those that saved most bytes first."""
         cues = [m.start() for m in CUE.finditer(text)]
         out = {}
         if cues and self.reach:
             for places, low, high in self.portions(text):
                 for x in self.near_cues(text, cues, places, low, high):
-                    out[x[0], x[3], x[4]] = x
-        return sorted(out.values(), key=lambda x: (len(x[2]), -len(self.words[x[0]]), x[3], x[0]))
+                    out[x[1], x[4], x[5]] = x
+        return [x[1:] for x in sorted(out.values(), key=lambda x: (-x[0], x[4], x[1]))]
 
-    def near_cues(self, text: str, cues: list[int], places: list[tuple[int, int]], own: int, to: int) -> Iterator[tuple[int, float, list[str], int, int]]:
-        """The wordings around the cues in words ``own`` to ``to`` of some."""
+    def near_cues(self, text: str, cues: list[int], places: list[tuple[int, int]], own: int, to: int) -> Iterator[tuple[int, int, float, list[str], int, int]]:
+        """(bytes saved, template, share saved, differences, start, end) of the wordings around the cues in words ``own`` to ``to`` of some."""
         begins = [a for a, _ in places]
         some = cues[bisect_left(cues, begins[own]) if own else 0 : bisect_left(cues, begins[to]) if to < len(places) else len(cues)] if places else []
         if not some:
@@ -143,29 +179,21 @@ class Scanner:
             else:
                 regions.append([max(0, at - self.reach), at + self.reach])
         for low, high in regions:
-            held = Counter(words[low:high])
-            for k, want in enumerate(self.words):
-                if not want or not self.enough(held, k):
-                    continue
-                first = want[: self.most[k] + 1]  # a wording has one of these
-                starts = set()
-                for i in range(low, min(high, len(words))):
-                    if words[i] in first:
-                        for j in (j for j, w in enumerate(first) if w == words[i]):
-                            start = i
-                            while start > i - j and start > 0 and not EDGE.search(text[places[start - 1][1] : places[start][0]]):
-                                start -= 1
-                            starts.add(start)
-                for start in sorted(starts):
-                    have = words[start : start + self.lengths[k]]
-                    if not self.enough(Counter(have), k) or (saved := self.saved(have, k)) < LEAST_SAVED:
-                        continue
-                    found, n = self.differences(have, k)
-                    if len(found) > self.most[k] or any(re.search(r"\d", x) for x in found):
-                        continue
+            starts: dict[int, set[int]] = {}
+            for i in range(low, min(high, len(words))):
+                for k, j in self.openings.get(words[i], ()):
+                    start = i
+                    while start > i - j and start > 0 and not EDGE.search(text[places[start - 1][1] : places[start][0]]):
+                        start -= 1
+                    starts.setdefault(start, set()).add(k)
+            for start, templates in sorted(starts.items()):
+                if not any(start <= bisect_right(begins, c) - 1 < start + self.reach for c in some[bisect_left(some, begins[start]) :][:1]):
+                    continue  # no cue in what could be its wording
+                if best := self.winner(words, start, templates):
+                    size, k, share, found, n = best
                     a, b = places[start][0], places[start + n - 1][1]
                     if bisect_left(cues, a) < bisect_left(cues, b):  # it has a cue
-                        yield k, saved, found, a, b
+                        yield size, k, share, found, a, b
 
     def match(self, block: str) -> tuple[int, float, list[str], int] | None:
         """(template, share saved, differences, end in the block) of the best wording of a block."""
