@@ -2,9 +2,9 @@
 
 Around each cue word of licensing, as many words as the longest template has, and some slack, are looked at. A block may start
 wherever one of a template's first words stands, at a line, a sentence or within one; what precedes it doesn't count. If the
-first of them are missing, the words in their places count as differences, back to the line's or sentence's start. Blocks of some lengths are
-compressed with all templates of that length as one zstandard raw dictionary; where that saves little, none of them stands there. The others are compressed with
-each template as dictionary, and the templates are ranked by the bytes that they save. In that order each is confirmed or not by the exact wording: the words of
+first of them are missing, the words in their places count as differences, back to the line's or sentence's start. A block is
+compressed with each template that it could be, as a zstandard raw dictionary (one of whose words it lacks more than may differ can't be confirmed, and is
+passed over), and the templates are ranked by the bytes that they save. In that order each is confirmed or not by the exact wording: the words of
 block and template are aligned, every difference is listed, and the first template with few differences, none of them in a
 word with a digit (a version), wins the block. Of blocks that overlap, the one that saved most bytes stays. Line breaks and comment
 marks between words don't matter, neither to the words nor to the compression.
@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -61,10 +61,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 CUE = re.compile(r"licen[cs]|copyright|permission|redistribut|public[\W_]+domain|rights[\W_]+reserved|creative[\W_]+commons|free[\W_]+software", re.I)
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
-#: Least share of the block's size saved by a template, by all templates of a length, and most differences as a share of the template's words.
-LEAST_SAVED, LEAST_SAVED_BY_ALL, MOST_DIFFERENT = 0.25, 0.1, 0.12
-#: Words of the blocks that are compressed with all templates of up to that length; longer templates have blocks of the longest one's length.
-LENGTHS = (8, 16, 40, 120)
+#: Least share of the block's size saved, and most differences as a share of the template's words.
+LEAST_SAVED, MOST_DIFFERENT = 0.25, 0.12
 #: What ends a sentence or line.
 EDGE = re.compile(r"[\n]|[.!?]\s")
 #: Words of a long text that are looked at together.
@@ -72,6 +70,21 @@ PORTION = 1 << 15
 LEVEL = 6
 
 
+def apart(found: list[tuple], kind: Callable[[tuple], int]) -> list[tuple]:
+    """Those of some passages (.., start, end), in the order given, that no earlier one of their kind overlaps."""
+    taken: dict[int, list[tuple[int, int]]] = {}
+    out = []
+    for x in found:
+        mine = taken.setdefault(kind(x), [])
+        start, end = x[-2:]
+        at = bisect_left(mine, (start, end))
+        if (at and mine[at - 1][1] > start) or (at < len(mine) and mine[at][0] < end):
+            continue
+        mine.insert(at, (start, end))
+        out.append(x)
+    return out
+
+
 class Scanner:
     """Compressors with the templates as dictionaries, and the templates' words."""
 
@@ -92,9 +105,6 @@ class Scanner:
         self.texts = [" ".join(w) for w in self.words]
         raw = lambda t: make(dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
         self.given = [raw(t) for t in self.texts]
-        self.classes = [bisect_left(LENGTHS, n) for n in self.lengths]
-        together = lambda c: "\n".join(t for t, mine in zip(self.texts, self.classes, strict=True) if mine == c)
-        self.joint = {c: ((*LENGTHS, self.reach)[c], raw(together(c))) for c in set(self.classes)}
 
     def reduction(self, have: list[str], k: int) -> tuple[int, float]:
         """Bytes and share of a block's size that a template saves. The block is cut to the template's length and slack."""
@@ -103,24 +113,15 @@ class Scanner:
         given = len(self.given[k].compress(data))
         return plain - given, 1 - given / plain
 
-    def may_hold(self, words: list[str], c: int) -> bool:
-        """Whether all templates of a length together make the words' first block smaller."""
-        n, joint = self.joint[c]
-        data = " ".join(words[:n]).encode()
-        return len(joint.compress(data)) <= (1 - LEAST_SAVED_BY_ALL) * len(self.plain.compress(data))
-
     def confirmed(self, have: list[str], k: int) -> tuple[list[str], int] | None:
-        """The exact wording's differences and words, if they are few; alignment is left out where the words alone differ too much."""
-        if not self.enough(Counter(have), k):
-            return None
+        """The exact wording's differences and words, if they are few."""
         found, n = self.differences(have, k)
         return None if len(found) > self.most[k] or any(re.search(r"\d", x) for x in found) else (found, n)
 
     def winner(self, words: list[str], start: int, templates: set[int]) -> tuple[int, int, float, list[str], int] | None:
         """(bytes saved, template, share saved, differences, words) of the first template, in order of bytes saved, whose wording is confirmed at a start."""
         block = words[start : start + self.reach]
-        passed = {c for c in {self.classes[k] for k in templates} if self.may_hold(block, c)}
-        saved = [(*self.reduction(block[: self.lengths[k]], k), k) for k in templates if self.classes[k] in passed]
+        saved = [(*self.reduction(block[: self.lengths[k]], k), k) for k in templates if self.enough(Counter(block[: self.lengths[k]]), k)]
         for size, share, k in sorted((x for x in saved if x[1] >= LEAST_SAVED), key=lambda x: (-x[0], x[2])):
             if sure := self.confirmed(block[: self.lengths[k]], k):
                 return size, k, share, *sure
@@ -162,7 +163,9 @@ class Scanner:
             for places, low, high in self.portions(text):
                 for x in self.near_cues(text, cues, places, low, high):
                     out[x[1], x[4], x[5]] = x
-        return [x[1:] for x in sorted(out.values(), key=lambda x: (-x[0], x[4], x[1]))]
+        # of overlapping blocks of one template that with the fewest differences stays, of others that which saved most
+        each = apart(sorted(out.values(), key=lambda x: (x[1], len(x[3]), -x[0], x[4])), lambda x: x[1])
+        return [x[1:] for x in sorted(each, key=lambda x: (-x[0], x[4], x[1]))]
 
     def near_cues(self, text: str, cues: list[int], places: list[tuple[int, int]], own: int, to: int) -> Iterator[tuple[int, int, float, list[str], int, int]]:
         """(bytes saved, template, share saved, differences, start, end) of the wordings around the cues in words ``own`` to ``to`` of some."""
@@ -201,14 +204,8 @@ class Scanner:
 
     def scan(self, text: str | None) -> list[dict]:
         """The license passages of a whole text, in order, not overlapping."""
-        taken: list[tuple[int, int]] = []
-        out = []
-        for k, saved, different, start, end in self.wordings(text or ""):
-            at = bisect_left(taken, (start, end))
-            if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < end):
-                continue
-            taken.insert(at, (start, end))
-            out.append({"license": self.templates[k][0], "start": start, "end": end, "saved": round(saved, 4), "different": different})
+        found = apart([(0, *x) for x in self.wordings(text or "")], lambda _: 0)
+        out = [{"license": self.templates[k][0], "start": start, "end": end, "saved": round(saved, 4), "different": different} for _, k, saved, different, start, end in found]
         return sorted(out, key=lambda x: x["start"])
 
 

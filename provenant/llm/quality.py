@@ -163,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, key: str = "doc_id
     """The model, or None if no learning row has label 1.
 
     Labels are joined by key; of several for one key the largest counts, null ones don't. Rows with a null key are unlabelled.
+    Samples are of keys, by hash; of their rows, which are about as many, at most 4 x ``fit_rows`` are taken, by a hash of key and text.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_id")).agg((F.max(label) == 1).cast("int").alias("_y"))
     keys = docs.where(learn).select(F.col(key).alias("_id"), F.xxhash64(F.lit(3), F.col(key)).alias("_hash"))
@@ -179,9 +180,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, key: str = "doc_id
     positive = F.coalesce(F.col("_y") == 1, F.lit(False))
     chosen = keys.select("_id", (positive & some(facts["positive"])).alias("_p"), some(facts["all"]).alias("_u"))
     chosen = chosen.where(F.col("_p") | F.col("_u")).distinct()  # some 2 x fit_rows rows
-    texts = docs.where(learn).select(F.col(key).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_id")
+    rows = docs.where(learn).select(F.col(key).alias("_key"), F.col(text).alias("_t"), F.xxhash64(F.lit(4), F.col(key), F.col(text)).alias("_r"))
+    texts = rows.join(F.broadcast(chosen), F.col("_key").eqNullSafe(F.col("_id"))).select("_p", "_u", "_t", "_r")
     vectors = _mapped(texts, "_t", T.StructField("_x", T.ArrayType(T.FloatType())), pa.list_(pa.float32()), lambda raw, offsets: list(features(raw, offsets).astype(np.float32)))
-    table = vectors.select("_p", "_u", "_x").toArrow()
+    # a key that stands in very many rows doesn't bring all of them here
+    table = vectors.orderBy("_r").limit(4 * fit_rows).select("_p", "_u", "_x").toArrow()
     x = np.array(table["_x"].to_pylist(), float).reshape(-1, WIDTH)
     p, u = (np.array(table[c].to_pylist(), bool) for c in ("_p", "_u"))
     if not p.any() or not u.any():

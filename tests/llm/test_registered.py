@@ -29,6 +29,9 @@ COLUMNS = {
     "op8_decontaminate": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
     "op9_license_scan": "doc_id bigint",
     "op10_ngram_join": "doc_id bigint, n_links bigint, component_id bigint, kept boolean",
+    "op11_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    "op12_shards": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op13_conversation_repair": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
 }
 
 
@@ -57,6 +60,7 @@ def tables(spark, tmp_path_factory):
     save(docs, "doc_id long, text string, lang string, source string, n_chars long", "documents")
     save([*enumerate(items), (9, None), (10, "")], "item_id long, text string", "benchmark")
     save([(i, int(i % 6 != 5), 0) for i in range(0, 90, 2)] + [(1, 1, 0), (5, 0, 0), (11, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int", "labels")
+    save([(i // 6, i % 6, ["user", "assistant"][i % 2], f"Line {i}.") for i in range(60)], "conv_id long, turn long, role string, text string", "conversations")
     save(embeddings, "vec_id long, embedding array<float>, label int", "embeddings")
     return folder, {r[0]: r for r in docs}, items, embeddings
 
@@ -74,7 +78,7 @@ def test_columns(results):
     for name, (df, rows) in results.items():
         want = [tuple(c.split(" ")) for c in COLUMNS[name].split(", ")]
         assert df.dtypes[: len(want)] == want, name
-        assert len(rows) == (124 if name == "op6_near_vectors" else 100), name
+        assert len(rows) == {"op6_near_vectors": 124, "op13_conversation_repair": 10}.get(name, 100), name
         assert len({r[0] for r in rows}) == len(rows)
 
 
@@ -209,7 +213,7 @@ def test_near_copies(results, tables):
 
 
 def test_empty_tables(spark, tables, tmp_path):
-    for name in ("documents", "benchmark", "labels", "embeddings"):
+    for name in ("documents", "benchmark", "labels", "embeddings", "conversations"):
         queries.table(spark, tables[0], name).where(F.lit(False)).write.parquet(f"{tmp_path}/{name}.parquet")
     for f in queries.queries().values():
         assert f(spark, str(tmp_path)).count() == 0

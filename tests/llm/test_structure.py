@@ -356,3 +356,70 @@ def test_op13(spark, folder):
     for r in folder[2]:
         by[r[0]].append(r)
     assert {r[0]: tuple(r)[1:9] for r in df.collect()} == {c: wanted(mine) for c, mine in by.items()}
+
+
+# ---- ranking of licenses by compression, bounds of the quality sample
+
+
+def test_licenses_are_ranked_by_what_they_save(monkeypatch):
+    """Two templates whose wording is confirmed at one place: the one that saves more bytes wins; by another order the other does."""
+    from provenant.llm import licenses
+
+    rng = random.Random(13)
+    base = ["licensed", "under", *("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9))) for _ in range(98))]
+    other = lambda at: [w if i not in at else f"{w}other" for i, w in enumerate(base)]
+    far, near = other({10, 20, 30, 40, 50, 60}), other({15, 35})
+    scanner = licenses.Scanner((("far", " ".join(far)), ("near", " ".join(near))))
+    text = "Some prose before. " + " ".join(base) + ". And some after."
+    (found,) = scanner.scan(text)
+    assert found["license"] == "near" and len(found["different"]) == 4 and text[found["start"] : found["end"]] == " ".join(base)
+    monkeypatch.setattr(licenses.Scanner, "reduction", lambda self, have, k: (100, 0.9))
+    assert scanner.scan(text)[0]["license"] == "far"  # confirmed as well, and first by number
+
+
+def test_licenses_with_differences():
+    """Wordings with a word replaced, left out or added are found whole, with exactly these differences or fewer."""
+    from provenant.llm import licenses
+
+    rng, scanner, tried = random.Random(14), licenses.Scanner(), 0
+    for name, template in licenses.TEMPLATES:
+        words_ = template.split()
+        if len(words_) < 30:
+            continue
+        for change in ("replace", "drop", "add"):
+            i = rng.randrange(8, len(words_) - 4)
+            if any(c.isdigit() for c in words_[i]) or licenses.CUE.search(words_[i]):
+                continue
+            new = [*words_[:i], *{"replace": ["zebra"], "drop": [], "add": ["zebra", words_[i]]}[change], *words_[i + 1 :]]
+            text = "The river runs on. " + " ".join(new) + " Nothing follows."
+            got = [x for x in scanner.scan(text) if x["end"] - x["start"] > 0.8 * len(template)]
+            assert len(got) == 1 and len(got[0]["different"]) <= 2 and (got[0]["license"] == name or got[0]["license"].split("-")[0] == name.split("-")[0]), (name, change, got)
+            tried += 1
+    assert tried >= 10
+
+
+def test_quality_sample_is_bounded_by_rows(spark):
+    """A key that repeats very often, and rows without a key, which are unlabelled."""
+    from provenant.llm import quality
+
+    rng = random.Random(15)
+    text = lambda good: ". ".join(" ".join("".join(rng.choice("abcdefgh" if good else "!#$%&") for _ in range(5)) for _ in range(8)).capitalize() for _ in range(4))
+    rows = [(i, text(i % 3 > 0)) for i in range(120)] + [(7, text(True)) for _ in range(3000)] + [(None, text(False)) for _ in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(120)] + [(None, 1)], "doc_id long, quality int")
+    seen = []
+    original = quality.Model
+
+    class Model(original):
+        def __init__(self, x, p, u):
+            seen.append((len(x), int(p.sum()), int(u.sum())))
+            super().__init__(x, p, u)
+
+    quality.Model = Model
+    try:
+        model = quality.fit(docs, labels, F.lit(True), fit_rows=100)
+        whole = quality.fit(docs, labels, F.lit(True), fit_rows=10_000)
+    finally:
+        quality.Model = original
+    assert seen[0][0] <= 400 and model is not None
+    assert seen[1] == (3320, 3080, 3320) and 0 < whole.prior < 1  # with room for all, rows without a key are among the unlabelled
