@@ -35,6 +35,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder. Unlike a checkpoint it brings no constraints along, which double from round to round where a loop joins a table with itself."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """A table of rules with a broadcast hint, if it has no more rows than that."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
