@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenant.functions.text import short_title
-from provenant.session import checkpointed, small
+from provenant.session import checkpointed
+
+from .matching import regex_join
 
 # Forms of articles, definitions and case sections, and limits.
 NUMERAL = "零〇一二三四五六七八九十百千"
@@ -25,10 +27,9 @@ TERMS_AT_ONCE = 1_000
 def expand(queries: DataFrame, glossary: DataFrame, *, text: str = "text", expanded: str = "expanded") -> DataFrame:
     """Queries with the terms of all glossary patterns that they match in any case, in the glossary's order.
 
-    The glossary is a table of rules of fixed size: a join by regular expression meets every query with it.
+    A large glossary meets queries through literals of its patterns.
     """
-    rules = small(glossary.select("ord", "pattern", "terms"))
-    hits = queries.select(F.col("query_id"), F.col(text).alias("_q")).join(rules, F.expr("_q rlike concat('(?i)', pattern)"))
+    hits = regex_join(queries.select(F.col("query_id"), F.col(text).alias("_q")), glossary.select("ord", "pattern", "terms"), prefix="(?i)")
     terms = hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "terms"))), lambda x: x["terms"]), EXPANDED[1]).alias("_t"))
     out = queries.join(terms, "query_id", "left")
     return out.withColumn(expanded, F.when(F.col("_t").isNull(), F.col(text)).otherwise(F.concat(F.col(text), F.lit(EXPANDED[0]), "_t", F.lit(EXPANDED[2])))).drop("_t")
@@ -36,7 +37,7 @@ def expand(queries: DataFrame, glossary: DataFrame, *, text: str = "text", expan
 
 def required_chunks(queries: DataFrame, rules: DataFrame, chunks: DataFrame, *, text: str = "text") -> DataFrame:
     """Distinct (query_id, chunk_id) that rules ask for; patterns are case-sensitive, on the query as it was asked."""
-    hits = queries.select("query_id", F.col(text).alias("_q")).join(small(rules), F.expr("_q rlike pattern")).select("query_id", "doc_title", "article").distinct()
+    hits = regex_join(queries.select("query_id", F.col(text).alias("_q")), rules.select("pattern", "doc_title", "article")).select("query_id", "doc_title", "article").distinct()
     return hits.join(chunks.select("chunk_id", "doc_title", "article"), ["doc_title", "article"]).select("query_id", "chunk_id").distinct()
 
 
