@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +24,8 @@ USED_AT_MOST, LEAST_TERM, DEFINITIONS = 0.2, 2, 2
 CASE_SECTION = r"^(?:【([^】]{2,12})】|[一二三四五六七八九十]+、\s*(基本案情|诉讼过程|典型意义|裁判结果|检察机关履职过程|处理结果))\s*(.*)$"
 NO_SECTION, KEYWORD_SECTION, KEYWORD_SPLIT = "正文", "关键词", r"(?U)[\s　、，,；;]+"
 EXPANDED = ("（相关概念：", "；", "）")
-#: Terms of a document that a chunk's text is searched for at once.
-TERMS_AT_ONCE = 1_000
+#: Terms of a document that one automaton holds, and parts that its texts are dealt to.
+TERMS_AT_ONCE, TERM_PARTS = 100_000, 8
 
 
 def expand(queries: DataFrame, glossary: DataFrame, *, text: str = "text", expanded: str = "expanded") -> DataFrame:
@@ -48,17 +52,47 @@ def pinned_chunks(queries: DataFrame, chunks: DataFrame, *, text: str = "text")
     return found.where(F.contains("_q", short_title(F.col("doc_title")))).select("query_id", "chunk_id").distinct()
 
 
+def held_terms(texts: DataFrame, terms: DataFrame, *, at_once: int = TERMS_AT_ONCE) -> DataFrame:
+    """(doc, term): a row for each text (doc, text) and each of its document's terms (doc, term) that it holds.
+
+    A document's terms come before its texts in a partition; an automaton is made of them and runs over the texts one by one, so the work grows with text and matches. The texts of
+    a document are dealt to some partitions, each of which gets the terms.
+    """
+    block = F.floor((F.row_number().over(Window.partitionBy("doc").orderBy("term")) - 1) / at_once)
+    known = checkpointed(terms.withColumn("block", block).groupBy("doc", "block").agg(F.collect_list("term").alias("terms")))
+    heads = known.select("doc", "block", F.explode(F.sequence(F.lit(0), F.lit(TERM_PARTS - 1))).alias("part"), F.lit(0).alias("kind"), "terms")
+    bodies = texts.where("text is not null").join(known.select("doc", "block"), "doc").select("doc", "block", F.pmod(F.xxhash64("text"), F.lit(TERM_PARTS)).cast("int").alias("part"), F.lit(1).alias("kind"), "text")
+    order = ("doc", "block", "part")
+    both = heads.unionByName(bodies, allowMissingColumns=True).repartition(*order).sortWithinPartitions(*order, "kind")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = None
+        for frame in frames:
+            docs, held = [], []
+            for d, given, t in zip(frame["doc"], frame["terms"], frame["text"], strict=True):
+                if given is not None:
+                    automaton = ahocorasick.Automaton()
+                    for term in given:
+                        automaton.add_word(term, term)
+                    automaton.make_automaton()
+                    continue
+                mine = {term for _, term in automaton.iter(t)}
+                docs += [d] * len(mine)
+                held += mine
+            yield pd.DataFrame({"doc": pd.Series(docs, dtype=frame["doc"].dtype), "term": pd.Series(held, dtype="object")})
+
+    return both.select("doc", "terms", "text").mapInPandas(run, f"doc {dict(texts.dtypes)['doc']}, term string")
+
+
 def definition_terms(chunks: DataFrame, *, patterns: tuple[str, ...] = (CALLED, LEADING), doc: str = "doc_id", chunk: str = "chunk_id", text: str = "text", most: float = USED_AT_MOST) -> DataFrame:
     """(doc, chunk, term, usage): terms that a chunk defines and that at most a fifth of the document's chunks use.
 
-    A chunk looks for all terms of its document at once, ``TERMS_AT_ONCE`` at a time, and only those it holds become rows, which are counted.
+    One automaton holds a document's terms, ``TERMS_AT_ONCE`` at most, and runs once over each of its chunks; only terms that a chunk holds become rows, which are counted.
     """
     found = F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(p)) for p in patterns))))
     terms = chunks.select(doc, chunk, F.explode(F.array_distinct(F.transform(found, lambda t: F.regexp_replace(t, CALLED_PREFIX, "")))).alias("term")).where(F.length("term") >= LEAST_TERM)
     terms = checkpointed(terms)
-    known = terms.select(doc, "term").distinct()
-    known = known.withColumn("_block", F.floor((F.row_number().over(Window.partitionBy(doc).orderBy("term")) - 1) / TERMS_AT_ONCE)).groupBy(doc, "_block").agg(F.collect_list("term").alias("_terms"))
-    held = chunks.select(doc, F.col(text).alias("_text")).join(known, doc).select(doc, F.explode(F.filter("_terms", lambda t: F.contains("_text", t))).alias("term"))
+    held = held_terms(chunks.select(F.col(doc).alias("doc"), F.col(text).alias("text")), terms.select(F.col(doc).alias("doc"), "term").distinct()).withColumnRenamed("doc", doc)
     total = chunks.groupBy(doc).agg(F.count("*").alias("_all"))
     usage = held.groupBy(doc, "term").agg(F.count("*").alias("_n")).join(total, doc).select(doc, "term", (F.col("_n") / F.col("_all")).alias("usage")).where(F.col("usage") <= most)
     return terms.join(usage, [doc, "term"]).select(doc, chunk, "term", "usage")
