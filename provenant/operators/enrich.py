@@ -112,7 +112,7 @@ def attach_definitions(hits: DataFrame, terms: DataFrame, chunks: DataFrame, *,
 
 def sections(text: Column, pattern: str = CASE_SECTION, otherwise: str = NO_SECTION) -> Column:
     """A case's text by section: map of name to text. A heading starts its section; the rest of its line belongs to it."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     start = F.struct(F.lit(otherwise).alias("name"), F.array().cast("array<struct<name:string,line:string>>").alias("out"))
 
     def step(z: Column, line: Column) -> Column:

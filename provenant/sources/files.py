@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 SUFFIXES = (".md", ".docx", ".doc", ".pdf")
 EXCLUDED_FOLDERS = ("Internal", ".ipynb_checkpoints")
 DEFAULT_TYPE = "内部制度"
+EVERYONE = "全员"
 LEAST_CHARS_A_PAGE = 50
 CHUNK_SCHEMA = (
     "chunk_id string, doc_id string, doc_title string, doc_type string, source_file string, version string, effective_date string, doc_no string, status string, "
-    "kind string, chapter string, section string, article string, article_no int, alias string, page_start int, page_end int, text string, citation string, pos long"
+    "kind string, chapter string, section string, article string, article_no int, alias string, page_start int, page_end int, text string, citation string, pos long, access array<string>"
 )
 #: Columns of evaluation details, as they stand in files; two have other names in tables.
 DETAILS = {
@@ -50,23 +51,75 @@ def scan(spark: SparkSession, folder: str, *, excluded_folders: tuple[str, ...]
     return x.select("path", "file_name", "suffix", "content", taken.alias("taken"))
 
 
-def field(front: Column, name: str) -> Column:
-    """A scalar of YAML front matter, without quotation marks; null if it isn't there."""
-    found = F.regexp_extract(front, rf"(?m)^{name}:[ \t]*(.*?)[ \t]*$", 1)
-    return F.when(front.rlike(rf"(?m)^{name}:"), F.regexp_replace(found, r"""^(["'])(.*)\1$""", "$2"))
+# ---- front matter: an entry for each name at the start of a line, with the lines below that belong to it
+
+_ENTRIES = "array<struct<name:string,head:string,more:array<string>>>"
+_DOUBLE, _SINGLE = r'"(?:[^"\\]|\\.)*"', r"'(?:[^']|'')*'"
+
+
+def entries(front: Column) -> Column:
+    """Front matter by names: what stands behind each, and the lines below up to the next name. Comments and blank lines between names go."""
+    named = r"^([\p{L}_][\p{L}\p{N}_-]*):(?:[ \t]+(.*?))?[ \t]*$"
+
+    def step(z: Column, line: Column) -> Column:
+        fresh = F.struct(F.regexp_extract(line, named, 1).alias("name"), F.regexp_extract(line, named, 2).alias("head"), F.array().cast("array<string>").alias("more"))
+        last = F.element_at(z, -1)
+        longer = F.struct(last["name"].alias("name"), last["head"].alias("head"), F.concat(last["more"], F.array(line)).alias("more"))
+        return F.when(line.rlike(named), F.concat(z, F.array(fresh))).when((F.size(z) == 0) | line.startswith("#"), z).otherwise(F.concat(F.slice(z, 1, F.size(z) - 1), F.array(longer)))
+
+    return F.aggregate(F.split(front, "\n"), F.array().cast(_ENTRIES), step)
+
+
+def _plain(text: Column) -> Column:
+    """One scalar on a line: quoted either way, or plain up to a comment."""
+    trimmed = F.regexp_replace(text, r"^[ \t]+|[ \t]+$", "")
+    double = F.regexp_extract(trimmed, rf"^({_DOUBLE})", 1)
+    inner = F.substring(double, F.lit(2), F.length(double) - 2)
+    hidden = F.replace(inner, F.lit("\\\\"), F.lit("\u0001"))
+    for sign, meant in ((r"\"", '"'), (r"\n", "\n"), (r"\t", "\t"), (r"\/", "/")):
+        hidden = F.replace(hidden, F.lit(sign), F.lit(meant))
+    single = F.regexp_extract(trimmed, rf"^({_SINGLE})", 1)
+    bare = F.regexp_replace(trimmed, r"(^|[ \t]+)#.*$", "")
+    return F.when(double != "", F.replace(hidden, F.lit("\u0001"), F.lit("\\"))).when(single != "", F.replace(F.substring(single, F.lit(2), F.length(single) - 2), F.lit("''"), F.lit("'"))).otherwise(bare)
+
+
+def scalar(entry: Column) -> Column:
+    """An entry as a text: quoted, plain (over several lines as well), literal (``|``) or folded (``>``); null for a null entry."""
+    head, more = entry["head"], entry["more"]
+    width = F.length(F.regexp_extract(F.try_element_at(F.filter(more, lambda x: F.trim(x) != ""), F.lit(1)), r"^([ \t]*)", 1))
+    body = F.regexp_replace(F.array_join(F.transform(more, lambda x: F.substr(x, F.coalesce(width, F.lit(0)) + 1)), "\n"), r"\n+$", "")
+    end = F.when(head.rlike(r"^[|>]-") | (body == ""), "").otherwise("\n")
+    folded = F.replace(F.replace(F.replace(body, F.lit("\n\n"), F.lit("\u0001")), F.lit("\n"), F.lit(" ")), F.lit("\u0001"), F.lit("\n"))
+    lines = F.filter(F.concat(F.array(head), F.transform(more, lambda x: F.trim(x))), lambda x: x != "")
+    return F.when(head.rlike(r"^\|[-+]?\s*$"), F.concat(body, end)).when(head.rlike(r"^>[-+]?\s*$"), F.concat(folded, end)).otherwise(_plain(F.array_join(lines, " ")))
+
+
+def listed(entry: Column) -> Column:
+    """An entry as a list: in brackets, with a dash for each item, or a single text; empty for a null entry."""
+    whole = F.array_join(F.concat(F.array(entry["head"]), F.transform(entry["more"], lambda x: F.trim(x))), " ")
+    inside = F.regexp_extract(whole, rf"^\s*\[((?:{_DOUBLE}|{_SINGLE}|[^\]])*)\]", 1)
+    flow = F.regexp_extract_all(inside, F.lit(rf"[ \t]*({_DOUBLE}|{_SINGLE}|[^,]+)"), F.lit(1))
+    dashed = F.filter(F.transform(entry["more"], lambda x: F.trim(x)), lambda x: x.rlike(r"^-[ \t]+"))
+    items = F.when(whole.rlike(r"^\s*\["), flow).when(F.size(dashed) > 0, F.transform(dashed, lambda x: F.regexp_replace(x, r"^-[ \t]+", ""))).otherwise(F.array(scalar(entry)))
+    return F.coalesce(F.filter(F.transform(items, _plain), lambda x: x != ""), F.array().cast("array<string>"))
+
+
+def entry(front: Column, name: str) -> Column:
+    """The entry of a name, the last of several; null without one."""
+    return F.try_element_at(F.filter(front, lambda e: e["name"] == name), F.lit(-1))
 
 
 def read_markdown(files: DataFrame) -> DataFrame:
-    """(path, doc_id, doc_title, doc_type, version, effective_date, lines) of Markdown files: front matter, then non-empty lines without leading #."""
+    """(path, doc_id, doc_title, doc_type, access, version, effective_date, lines) of Markdown files: front matter, then non-empty lines without leading #."""
     x = files.where("suffix = '.md' and taken").withColumn("raw", F.decode("content", "utf-8"))
     front = F.regexp_extract("raw", r"(?s)^---\n(.*?)\n---\n", 1)
     body = F.regexp_replace("raw", r"(?s)^---\n.*?\n---\n", "")
     stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
-    x = x.withColumns({"front": front, "body": body, "stem": stem})
+    x = x.withColumns({"front": entries(front), "body": body, "stem": stem})
     text = F.transform(F.split("body", r"\r\n|[\n\r]"), lambda t: F.regexp_replace(t, r"^#*\s*|\s+$", ""))
     lines = F.transform(F.filter(text, lambda t: t != ""), lambda t: F.struct(t.alias("text"), F.lit(None).cast("int").alias("page")))
-    get = lambda name, other: F.coalesce(field(F.col("front"), name), other)
-    return x.select("path", get("doc_id", F.col("stem")).alias("doc_id"), get("title", F.col("stem")).alias("doc_title"), get("doc_type", F.lit(DEFAULT_TYPE)).alias("doc_type"), get("version", F.lit("")).alias("version"), get("effective_date", F.lit("")).alias("effective_date"), lines.alias("lines"))
+    get = lambda name, other: F.coalesce(scalar(entry(F.col("front"), name)), other)
+    return x.select("path", get("doc_id", F.col("stem")).alias("doc_id"), get("title", F.col("stem")).alias("doc_title"), get("doc_type", F.lit(DEFAULT_TYPE)).alias("doc_type"), listed(entry(F.col("front"), "access")).alias("access"), get("version", F.lit("")).alias("version"), get("effective_date", F.lit("")).alias("effective_date"), lines.alias("lines"))
 
 
 def read_pages(files: DataFrame, readers: dict[str, Reader]) -> DataFrame:

@@ -15,7 +15,7 @@ from . import files
 
 @dataclass
 class Loaded:
-    """``documents``: path, doc_id, doc_title, doc_type, version, effective_date, doc_no, status, lines; ``skipped``: path; ``copies``: dropped, kept, sim; ``registry``: path, doc_id."""
+    """``documents``: path, doc_id, doc_title, doc_type, access, version, effective_date, doc_no, status, lines; ``skipped``: path; ``copies``: dropped, kept, sim; ``registry``: path, doc_id."""
 
     documents: DataFrame
     skipped: DataFrame
@@ -44,7 +44,7 @@ def load(spark: SparkSession, folder: str, registry: DataFrame, overrides: DataF
     named = cleaning.with_overrides(named, none if overrides is None else overrides)
     empty = F.array().cast("array<struct<text:string,page:int>>")
     rest = named.join(ids, "path").join(kept.withColumnRenamed("doc_id", "path"), "path", "left").select(
-        "path", "doc_id", F.col("title").alias("doc_title"), "doc_type", F.lit("").alias("version"), "effective_date", F.coalesce("doc_no", F.lit("")).alias("doc_no"), "status", F.coalesce("lines", empty).alias("lines")
+        "path", "doc_id", F.col("title").alias("doc_title"), "doc_type", F.array(F.lit(files.EVERYONE)).alias("access"), F.lit("").alias("version"), "effective_date", F.coalesce("doc_no", F.lit("")).alias("doc_no"), "status", F.coalesce("lines", empty).alias("lines")
     )
     every = checkpointed(told.unionByName(rest))
     texts = every.select("path", F.array_join(F.transform("lines", lambda x: x["text"]), "").alias("text"))
