@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenant.functions.text import words
-from provenant.operators import enrich, evaluate, flows, index, model, report, rules, segment
+from provenant.operators import enrich, evaluate, flows, index, model, report, rules
 from provenant.session import checkpointed
-from provenant.sources import files, loading
+from provenant.sources import files, increments
 
 
 def named(name: str | None, otherwise=None):
@@ -25,26 +25,14 @@ def named(name: str | None, otherwise=None):
     return getattr(importlib.import_module(module), attribute)
 
 
-def build(spark: SparkSession, folder: str, out: str, load=None) -> DataFrame:
-    """Chunks and index of a folder of documents, under ``out``; returns the corpus report. A registry there keeps ids from run to run."""
-    try:
-        registry = spark.createDataFrame(spark.read.json(f"{out}/registry").collect(), "doc_id string, path string")  # a row for each file
-    except Exception as e:  # the first run has none
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        registry = spark.createDataFrame([], "doc_id string, path string")
-    loaded = loading.load(spark, folder, registry)
-    chunks, warnings = segment.build(loaded.documents.withColumn("source_file", F.col("path")).drop("path"))
-    if repeated := segment.repeated_ids(chunks).first():
-        raise ValueError(f"chunk id stands more than once: {repeated['chunk_id']}")
-    files.write_chunks(chunks, f"{out}/chunks")
-    index.write_index(*index.build(chunks, load or (lambda: index.hashing_encoder)), f"{out}/index")
-    loaded.registry.write.mode("overwrite").json(f"{out}/registry")
-    return segment.corpus_report(chunks).unionByName(warnings.select("doc_id", F.lit(0).cast("long").alias("n_chunks"), F.col("warning").alias("kinds"), F.lit(0).alias("longest")))
+def build(spark: SparkSession, folder: str, out: str, load=None, version: str = "") -> DataFrame:
+    """Bring chunks and index under ``out`` up to a folder of documents; returns the corpus report. Files that didn't change aren't read, and ids stay."""
+    return increments.report(spark, increments.update(spark, folder, out, load, version=version).path)
 
 
 def library(spark: SparkSession, out: str, load=None) -> flows.Library:
     """What ``build`` wrote, as a library."""
+    out = increments.current(spark, out)
     chunks = files.read_chunks(spark, f"{out}/chunks")
     text = index.embedding_text(*(F.col(c) for c in ("doc_title", "chapter", "section", "alias", "text")))
     chunks = chunks.withColumns({"_words": F.array_distinct(words(text))})
@@ -119,7 +107,7 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("provenant").getOrCreate()
     load = named(o.encoder)
     if o.command == "build":
-        build(spark, o.folder, o.out, load).orderBy("doc_id").show(10_000, truncate=False)
+        everything(build(spark, o.folder, o.out, load, o.encoder or "").orderBy("doc_id"))
         return
     x = library(spark, o.out, load)
     if o.command == "search":

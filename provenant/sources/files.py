@@ -6,15 +6,19 @@ registered by suffix and run in ``mapInPandas``.
 
 from __future__ import annotations
 
+import functools
 import io
 import zipfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provenant.session import small
+
 # What is read and what isn't, and the gate under which a page has no text of its own.
 SUFFIXES = (".md", ".docx", ".doc", ".pdf")
 EXCLUDED_FOLDERS = ("Internal", ".ipynb_checkpoints")
@@ -36,19 +40,52 @@ DETAIL_NAMES = {"hit@1": "hit_at_1", "hit@k": "hit_at_k"}
 Reader = Callable[[bytes], list[list[str]]]
 
 
-def scan(spark: SparkSession, folder: str, *, excluded_folders: tuple[str, ...] = EXCLUDED_FOLDERS, excluded_files: tuple[str, ...] = (), suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """(path, file_name, suffix, content, taken): all files below a folder but hidden ones; taken is false for what isn't read.
+@dataclass
+class Moments:
+    """When files were changed, in microseconds: each moment, or without them the first and the last. Scans use it to open no others; it may hold for files that aren't meant."""
+
+    #: Moments that are told one by one; of more, the range is.
+    MOST = 200
+
+    each: list[int]
+    first: int
+    last: int
+
+    @classmethod
+    def of(cls, files: DataFrame) -> Moments:
+        """Of files with a column ``modified``."""
+        micros = F.unix_micros("modified").alias("m")
+        each = [r["m"] for r in files.select(micros).distinct().limit(cls.MOST + 1).collect()]
+        ends = files.agg(F.min(F.unix_micros("modified")).alias("a"), F.max(F.unix_micros("modified")).alias("b")).first()
+        return cls(each if len(each) <= cls.MOST else [], ends["a"] or 0, ends["b"] or 0)
+
+    def hold(self, modified: Column) -> Column:
+        at = lambda m: F.timestamp_micros(F.lit(m))
+        if self.each:
+            return functools.reduce(lambda x, y: x | y, (modified == at(m) for m in self.each))
+        return (modified >= at(self.first)) & (modified <= at(self.last))
+
 
-    Content is read only if a later step asks for it.
+def scan(
+    spark: SparkSession, folder: str, *, excluded_folders: tuple[str, ...] = EXCLUDED_FOLDERS, excluded_files: tuple[str, ...] = (), suffixes: tuple[str, ...] = SUFFIXES, only: tuple[str, ...] = (), moments: Moments | None = None
+) -> DataFrame:
+    """(path, file_name, suffix, content, modified, length, taken): all files below a folder but hidden ones; taken is false for what isn't read.
+
+    Content is read only if a later step asks for it, and only of files with the suffixes ``only`` (all without any) that were changed at ``moments``: both are decided before a file is opened.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if only:
+        reader = reader.option("pathGlobFilter", "*{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s) for s in only) + "}")
+    files = reader.load(folder)
+    if moments is not None:
+        files = files.where(moments.hold(F.col("modificationTime")))
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
     path = F.expr(f"substring(path, locate('{root}', path) + {len(root) + 1})") if "'" not in root else F.col("path")
-    x = files.select(path.alias("path"), "content").withColumn("parts", F.split("path", "/")).withColumn("file_name", F.element_at("parts", -1))
+    x = files.select(path.alias("path"), "content", F.col("modificationTime").alias("modified"), "length").withColumn("parts", F.split("path", "/")).withColumn("file_name", F.element_at("parts", -1))
     x = x.where(~F.col("file_name").startswith(".")).withColumn("suffix", F.lower(F.regexp_extract("file_name", r"(\.[^.]*)$", 1)))
     taken = F.col("suffix").isin(*suffixes) & ~F.arrays_overlap("parts", F.array(*map(F.lit, excluded_folders))) & ~F.col("file_name").isin(*excluded_files)
-    return x.select("path", "file_name", "suffix", "content", taken.alias("taken"))
+    return x.select("path", "file_name", "suffix", "content", "modified", "length", taken.alias("taken"))
 
 
 # ---- front matter: an entry for each name at the start of a line, with the lines below that belong to it
@@ -124,21 +161,36 @@ def read_markdown(files: DataFrame) -> DataFrame:
 
 def read_pages(files: DataFrame, readers: dict[str, Reader]) -> DataFrame:
     """(path, page, line_no, text) by registered readers: a reader turns a file's bytes into pages of lines. Files of formats without pages have page null."""
+    return read_new(files, readers).where("line_no >= 0").select("path", "page", "line_no", "text")
+
+
+def read_new(files: DataFrame, readers: dict[str, Reader], cache: DataFrame | None = None) -> DataFrame:
+    """(path, digest, page, line_no, text) by registered readers, for contents that ``cache`` (digest, page, line_no, text) lacks; each file has a row with line_no -1 and its digest, whether it was read or not."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for path, suffix, content in zip(frame["path"], frame["suffix"], frame["content"], strict=True):
+            for path, suffix, content, digest, known in zip(*(frame[c] for c in ("path", "suffix", "content", "digest", "known")), strict=True):
+                out.append((path, digest, None, -1, None))
                 n = 0
-                for page, lines in enumerate(readers[suffix](bytes(content)), 1):
+                for page, lines in enumerate([] if known else readers[suffix](bytes(content)), 1):
                     for t in lines:
                         if t.strip():
-                            out.append((path, page if suffix == ".pdf" else None, n, t.strip()))
+                            out.append((path, digest, page if suffix == ".pdf" else None, n, t.strip()))
                             n += 1
-            yield pd.DataFrame(out, columns=["path", "page", "line_no", "text"]).astype({"page": "object"})
+            yield pd.DataFrame(out, columns=["path", "digest", "page", "line_no", "text"]).astype({"page": "object"})
+
+    x = files.where(F.col("taken") & F.col("suffix").isin(*readers)).select("path", "suffix", "content", digest_of(F.col("content"), F.col("suffix")).alias("digest"))
+    if cache is None:
+        x = x.withColumn("known", F.lit(False))
+    else:
+        x = x.join(small(cache.where("line_no = -1").select("digest", F.lit(True).alias("known")).distinct()), "digest", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return x.select("path", "suffix", "content", "digest", "known").mapInPandas(run, "path string, digest string, page int, line_no int, text string")
+
 
-    known = files.where(F.col("taken") & F.col("suffix").isin(*readers))
-    return known.select("path", "suffix", "content").mapInPandas(run, "path string, page int, line_no int, text string")
+def digest_of(content: Column, suffix: Column) -> Column:
+    """What names a content in the cache: the suffix chooses the reader, so it belongs to the name."""
+    return F.concat(F.md5(content), suffix)
 
 
 def read_docx(content: bytes) -> list[list[str]]:
