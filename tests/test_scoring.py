@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from provenant.operators import retrieve, scoring
+from provenant.functions import shingles, text
+from provenant.operators import dedupe, retrieve, scoring
 
 
 def test_products_leave_no_table_of_pairs(spark, monkeypatch):
@@ -51,3 +52,20 @@ def test_cosines_leave_no_table_of_pairs(spark, monkeypatch):
     part = q.where("query_id < 1500").select("query_id", F.col("vector").cast("array<double>").alias("_q")).where("exists(_q, x -> x <> 0)").toArrow().combine_chunks()
     whole = v.where("chunk_id < 1500").select("chunk_id", F.col("vector").cast("array<double>").alias("_v")).where("exists(_v, x -> x <> 0)")
     assert retrieve.cosines(part, whole, 9).count() <= part.num_rows * 9 * 2
+
+
+def test_few_items_meet_texts_as_sets_do(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = "".join(rng.choice(list("abcdefgh 𝒳"), 400))
+    cut = lambda: base[rng.integers(0, 60) : rng.integers(100, 400)]
+    docs = spark.createDataFrame([(i, cut()) for i in range(60)] + [(90, None), (91, "abc"), (92, base[5:30])], "doc_id long, text string")
+    items = spark.createDataFrame([(f"i{i}", cut()) for i in range(20)] + [("none", None), ("short", base[8:24])], "item_id string, text string")
+    rows = lambda x: sorted(tuple(r) for r in x.select("a", "b", "shared", "sim").collect())
+    want = rows(dedupe.containment_pairs(dedupe.shingle_sets(docs), dedupe.shingle_sets(items, key="item_id"), other="item_id"))
+    for most in (retrieve.BROADCAST_TOKENS, 900):
+        monkeypatch.setattr(retrieve, "BROADCAST_TOKENS", most)
+        found = dedupe.contained_texts(docs, items)
+        assert rows(found) == want and len(want) > 100
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()  # no shingle is shuffled
+    counted = {r[0]: r[1] for r in shingles.with_shingles(docs, sets=False).collect()}
+    assert counted == {r[0]: r[1] for r in docs.select("doc_id", F.size(text.char_shingles(F.col("text")))).collect()}
