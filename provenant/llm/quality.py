@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Sealed, mapped, single, steps, utf8
+from .common import Sealed, mapped, release, single, steps, utf8
 from .words import PART, Words
 
 #: Most rows of each of the two sets that the model is fitted on: those with the least hash of the key.
@@ -185,12 +185,20 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, key: str = "doc_id
     vectors = _mapped(texts, "_t", T.StructField("_x", T.ArrayType(T.FloatType())), pa.list_(pa.float32()), lambda raw, offsets: list(features(raw, offsets).astype(np.float32)))
     # a key that stands in very many rows doesn't bring all of them here
     table = vectors.orderBy("_r").limit(4 * fit_rows).select("_p", "_u", "_x").toArrow()
-    x = np.array(table["_x"].to_pylist(), float).reshape(-1, WIDTH)
-    p, u = (np.array(table[c].to_pylist(), bool) for c in ("_p", "_u"))
+    x = column(table, "_x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, WIDTH)
+    p, u = (column(table, c).to_numpy(zero_copy_only=False).astype(bool) for c in ("_p", "_u"))
     if not p.any() or not u.any():
         return None
     order = np.lexsort(x.T)  # the same model whatever the order in which rows arrive
-    return Model(x[order], p[order], u[order])
+    model = Model(x[order], p[order], u[order])
+    del table, x
+    release()  # this is the driver, which stays
+    return model
+
+
+def column(table: pa.Table, name: str) -> pa.Array:
+    """A column in one piece; values stay in Arrow's memory, since as Python's objects they take some ten times that of the driver."""
+    return pa.concat_arrays(table[name].chunks) if table.num_rows else pa.array([], table.schema.field(name).type)
 
 
 def score(docs: DataFrame, model: Model | None, *, text: str = "text", score: str = "_score") -> DataFrame:
