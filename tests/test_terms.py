@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from provenant.operators import enrich
 
 
@@ -19,3 +21,27 @@ def test_terms_by_brute_force(spark):
     for at_once in (enrich.TERMS_AT_ONCE, 7):
         assert sorted(map(tuple, enrich.held_terms(t, k, at_once=at_once).collect())) == want and len(want) > 500
     assert enrich.held_terms(t, k.where("false")).count() == 0
+
+
+def test_definitions_grow_with_what_hits_hold(spark, monkeypatch):
+    """A query with many hits in a document with many definitions: as by brute force, and no table of hits times definitions is made."""
+    rng = random.Random(6)
+    n = 400
+    word = lambda: "".join(rng.choice("abc") for _ in range(4))
+    texts = {i: " ".join(word() for _ in range(12)) for i in range(n)}
+    defines = {(i % 2, i, w) for i, t in texts.items() for w in t.split()[:2]}
+    hits = {(q, c): r for q in (1, 2, 3) for r, c in enumerate(rng.sample(range(n), (300, 20, 1)[q - 1]), 1)}
+    best: dict = {}
+    for (q, c), r in hits.items():
+        for d, at, w in defines:
+            if d == c % 2 and w in texts[c] and (q, at) not in hits:
+                best[q, at] = min(best.get((q, at), (r, at)), (r, at))
+    want = sorted((q, at, k) for q in (1, 2, 3) for k, (_, at) in enumerate(sorted((v, at) for (p, at), v in best.items() if p == q)[:2], 1))
+    terms = spark.createDataFrame([*defines, *list(defines)[:50]], "doc_id int, chunk_id int, term string")
+    chunks = spark.createDataFrame([(i, i % 2, t, i) for i, t in texts.items()], "chunk_id int, doc_id int, text string, pos int")
+    table = spark.createDataFrame([(q, c, r) for (q, c), r in hits.items()], "query_id int, chunk_id int, hit_rank int")
+    found = enrich.attach_definitions(table, terms, chunks)
+    assert sorted(map(tuple, found.collect())) == want and len(want) == 6
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" not in plan
+    assert enrich.attach_definitions(table.where(F.lit(False)), terms, chunks).count() == 0
