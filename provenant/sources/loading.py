@@ -34,7 +34,7 @@ def load(spark: SparkSession, folder: str, registry: DataFrame, overrides: DataF
     known = F.col("taken") & readable(readers)
     ids = checkpointed(dedupe.stable_ids(listed.where(known & (F.col("suffix") != ".md")).select("path"), registry))
     every, _ = read(spark, folder, listed.where(known), ids, overrides, readers, excluded_files=excluded_files, whole=True)
-    pairs = dedupe.containment_pairs(shingles(every), key="path")
+    pairs = dedupe.containment_pairs(checkpointed(shingles(every)), key="path")  # read more than once, and readers are dear
     copies = checkpointed(dedupe.resolve(checkpointed(pairs), preference(every)))
     return Loaded(dedupe.survivors(every, copies, key="path"), listed.where(~known).select("path"), copies, registry.select("path", "doc_id").unionByName(ids.select("path", "doc_id")).distinct())
 
